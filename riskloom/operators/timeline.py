@@ -76,41 +76,59 @@ def first_occurrences(txn: DataFrame, key: str, items: dict[str, list[str]], sli
     return slicing.add(firsts.groupBy(key, "at", "id").agg(*flags), "at")
 
 
-def _slice_totals(events: DataFrame, key: str, trailing: dict[str, Trailing], hours: bool) -> DataFrame:
-    real = F.col("rec").isNotNull()
-    aggs = [
-        F.count_if(real).alias("n"),
-        F.min(F.when(real, F.col("at"))).alias("first_at"),
-        F.max(F.when(real, F.struct("at", "id", F.col("rec.where_at").alias("where_at")))).alias("last"),
-        *[F.sum(f"d_{n}").alias(f"t_{n}") for n in trailing],
+def _slice_totals(txn: DataFrame, slicing: Slicing, trailing: dict[str, Trailing], hours: bool) -> DataFrame:
+    """Per (entity, slice): row count, first time, last row, hour counts, net change of each count.
+
+    A row whose expiry falls into its own slice nets to zero there, so only crossings are expanded.
+    """
+    key = slicing.key
+    rows = slicing.add(txn)
+    stay = ["1 as n", "ts_us as first_at",
+            "struct(ts_us as at, transaction_id as id, where_at) as last", "hour",
+            *[f"{_crossing(n, t, 1)} as t_{n}" for n, t in trailing.items()]]
+    if any(t.where is not None for t in trailing.values()):
+        rows = rows.select("*", *[
+            F.coalesce(t.where, F.lit(False)).alias(f"w_{n}") for n, t in trailing.items() if t.where is not None])
+    last_type = rows.selectExpr(f"{stay[2]}").schema["last"].dataType.simpleString()
+    leave = [
+        f"case when {_crossing(n, t, 1)} = 1 then struct((ts_us + {t.width_us}) div slice_us as slice_no, 0 as n, "
+        f"cast(null as bigint) as first_at, cast(null as {last_type}) as last, cast(null as bigint) as hour, "
+        + ", ".join(f"{-1 if m == n else 0} as t_{m}" for m in trailing) + ") end"
+        for n, t in trailing.items()
     ]
+    changes = ", ".join([f"struct(slice_no, {', '.join(stay)})", *leave])
+    rows = rows.selectExpr(key, "slice_us", f"inline(array_compact(array({changes})))")
+    aggs = ["sum(n) as n", "min(first_at) as first_at", "max(last) as last", *[f"sum(t_{n}) as t_{n}" for n in trailing]]
     if hours:
-        aggs += [F.count_if(F.col("rec.hour") == h).alias(f"h{h}") for h in range(24)]
-    return events.groupBy(key, "slice_no", "slice_us").agg(*aggs)
+        aggs += [f"count_if(hour = {h}) as h{h}" for h in range(24)]
+    return rows.groupBy(key, "slice_no", "slice_us").agg(*[F.expr(a) for a in aggs])
+
+
+def _crossing(name: str, spec: Trailing, change: int) -> str:
+    """SQL: ``change`` if the row counts and leaves its window in a later slice, else 0."""
+    counted = "true" if spec.where is None else f"w_{name}"
+    return f"case when {counted} and (ts_us + {spec.width_us}) div slice_us <> slice_no then {change} else 0 end"
 
 
 def _carries(totals: DataFrame, key: str, trailing: dict[str, Trailing], hours: bool, split_days: bool) -> DataFrame:
     """What every slice with transactions has to know about earlier slices."""
-    earlier = W.partitionBy(key).orderBy("slice_no").rowsBetween(W.unboundedPreceding, -1)
-    start = F.col("slice_no") * F.col("slice_us")
+    earlier = f"over (partition by {key} order by slice_no rows between unbounded preceding and 1 preceding)"
     columns = [
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("c_n"),
-        F.min("first_at").over(earlier).alias("c_first"),
-        F.max("last").over(earlier).alias("c_last"),
-        *[F.coalesce(F.sum(f"t_{n}").over(earlier), F.lit(0)).alias(f"c_{n}") for n in trailing],
+        f"coalesce(sum(n) {earlier}, 0) as c_n",
+        f"min(first_at) {earlier} as c_first",
+        f"max(last) {earlier} as c_last",
+        *[f"coalesce(sum(t_{n}) {earlier}, 0) as c_{n}" for n in trailing],
     ]
     if hours:
-        columns.append(F.array(*[
-            F.coalesce(F.sum(f"h{h}").over(earlier), F.lit(0)) for h in range(24)]).alias("c_hours"))
+        columns.append("array(" + ", ".join(f"coalesce(sum(h{h}) {earlier}, 0)" for h in range(24)) + ") as c_hours")
+    today = "0L"
     if split_days:
-        same_day = W.partitionBy(key, "_day").orderBy("slice_no").rowsBetween(W.unboundedPreceding, -1)
-        today = F.coalesce(F.sum("n").over(same_day), F.lit(0))
-    else:
-        today = F.lit(0).cast("long")
+        today = earlier.replace(f"by {key}", f"by {key}, _day", 1)
+        today = f"coalesce(sum(n) {today}, 0L)"
     return (
-        totals.withColumn("_day", floor_div(start, US_PER_DAY))
-        .select(key, "slice_no", "slice_us", "n", (start - 1).alias("at"), *columns, today.alias("c_today"))
-        .filter(F.col("n") > 0).drop("n")
+        totals.withColumn("_day", F.expr(f"slice_no * slice_us div {US_PER_DAY}"))
+        .selectExpr(key, "slice_no", "n", "slice_no * slice_us - 1 as at", *columns, f"{today} as c_today")
+        .filter("n > 0").drop("n")
     )
 
 
@@ -132,75 +150,64 @@ def entity_timeline(
     split_days = slicing.splits is not None
     if "where_at" not in txn.columns:
         txn = txn.withColumn("where_at", _NO_LONG)
-    events = slicing.add(_events(txn, key, trailing), "at").drop("split")
-    totals = _slice_totals(events, key, trailing, hours)
+    events = slicing.add(_events(txn, key, trailing), "at").drop("split", "slice_us")
+    totals = _slice_totals(txn, slicing, trailing, hours)
     carries = _carries(totals, key, trailing, hours, split_days)
 
     parts = events.unionByName(carries, allowMissingColumns=True)
     if first_of:
         marks = first_occurrences(txn, key, first_of, slicing).drop("split")
-        parts = parts.unionByName(marks, allowMissingColumns=True)
+        parts = parts.unionByName(marks.drop("slice_us"), allowMissingColumns=True)
         if split_days and "merchant_today" in first_of:
             parts = parts.unionByName(_today_carry(totals, marks, key), allowMissingColumns=True)
 
-    cell = W.partitionBy(key, "slice_no")
-    rows_before = cell.orderBy("at", "id").rowsBetween(W.unboundedPreceding, -1)
-    peers = cell.orderBy("at", "id").rangeBetween(W.currentRow, W.currentRow)
-    strictly_before = cell.orderBy("at").rangeBetween(W.unboundedPreceding, -1)
-    real = F.col("rec").isNotNull()
-    known_before = lambda value: F.last(value, ignorenulls=True).over(rows_before)
+    # The carry sits one microsecond before its slice, so every frame that looks back includes it.
+    cell = f"partition by {key}, slice_no order by at"
+    rows_before = f"over ({cell}, id rows between unbounded preceding and 1 preceding)"
+    rows_upto = f"over ({cell}, id rows between unbounded preceding and current row)"
+    peers = f"over ({cell}, id range between current row and current row)"
+    strictly_before = f"over ({cell} range between unbounded preceding and 1 preceding)"
+    flags = [n for n in first_of if n != "merchant_today"]
 
-    here = F.when(real, F.struct("at", "id", F.col("rec.where_at").alias("where_at")))
-    parts = parts.select(
+    parts = parts.selectExpr(
+        "*",
+        "rec is not null as _real",
+        f"at % {US_PER_DAY} div 3600000000 as _hour",
+        "coalesce(case when rec is not null then struct(at, id, rec.where_at as where_at) end, c_last) as _here",
+    ).selectExpr(
         "*",
-        F.coalesce(F.count_if(real).over(rows_before), F.lit(0)).alias("_n"),
-        known_before(F.coalesce(here, F.col("c_last"))).alias("_prev"),
-        *[F.max(f"m_{name}").over(peers).alias(f"_first_{name}") for name in first_of if name != "merchant_today"],
-        *[F.lag(F.when(F.col("c_n").isNull(), _hour_of("at"))).over(cell.orderBy("at", "id")).alias("_lag_hour")
-          for _ in range(int(hours))],
+        f"coalesce(sum(coalesce(c_n, int(_real))) {rows_before}, 0) as _n",
+        f"last(_here, true) {rows_before} as _prev",
+        f"min(coalesce(c_first, case when _real then at end)) {rows_before} as _first",
+        *[f"max(m_{name}) {peers} as _first_{name}" for name in flags],
+        *([f"last(c_hours, true) {rows_before} as _c_hours",
+           f"lag(case when c_n is null then _hour end) over ({cell}, id) as _lag_hour"] if hours else []),
     )
     if hours:
         # Inside a day an hour is one contiguous run, so its earlier rows are those since its start.
-        starts = F.col("_lag_hour").isNull() | (F.col("_lag_hour") != _hour_of("at"))
-        start_n = F.last(F.when(F.col("c_n").isNull() & starts, F.col("_n")), ignorenulls=True).over(
-            cell.orderBy("at", "id").rowsBetween(W.unboundedPreceding, W.currentRow))
-        parts = parts.select("*", start_n.alias("_hour_n"))
-
-    # The carry sits one microsecond before the slice: every transaction of the slice sees it.
-    carried = lambda name: F.first(name, ignorenulls=True).over(
-        cell.orderBy("at", "id").rowsBetween(W.unboundedPreceding, W.currentRow))
-    carry_cols = ["c_n", "c_first", "c_today"] + (["c_hours"] if hours else [])
-    own_first = F.min(F.when(real, F.col("at"))).over(rows_before)
-    parts = parts.select(
-        "*", *[carried(c).alias(f"_{c}") for c in carry_cols], own_first.alias("_own_first"))
-    counted = {n: F.coalesce(F.sum(F.coalesce(f"d_{n}", f"c_{n}")).over(strictly_before), F.lit(0)) for n in trailing}
-    today_n = F.coalesce(F.count_if(real).over(strictly_before), F.lit(0))
-    last_us = F.max(F.when(real, F.col("at")).otherwise(F.col("c_last.at"))).over(strictly_before)
-    parts = parts.select(
-        "*", today_n.alias("_today_n"), last_us.alias("_last_us"),
-        *[v.alias(f"_w_{n}") for n, v in counted.items()],
-        *[F.coalesce(F.sum("m_merchant_today").over(strictly_before), F.lit(0)).alias("_today_merchants")
-          for name in first_of if name == "merchant_today"],
+        parts = parts.selectExpr(
+            "*", "last(case when c_n is null and (_lag_hour is null or _lag_hour <> _hour) then _n end, true) "
+            f"{rows_upto} as _hour_n")
+    parts = parts.selectExpr(
+        "*",
+        f"coalesce(sum(coalesce(c_today, int(_real))) {strictly_before}, 0) as _today_n",
+        f"max(_here.at) {strictly_before} as _last_us",
+        *[f"coalesce(sum(coalesce(d_{n}, c_{n})) {strictly_before}, 0) as _w_{n}" for n in trailing],
+        *([f"coalesce(sum(m_merchant_today) {strictly_before}, 0) as _today_merchants"]
+          if "merchant_today" in first_of else []),
     )
     out = [
-        (F.col("_c_n") + F.col("_n")).alias("prior_count"),
-        F.col("_prev.at").alias("prev_us"),
-        F.col("_prev.where_at").alias("prev_where"),
-        F.coalesce("_c_first", "_own_first").alias("first_us"),
-        (F.col("_c_today") + F.col("_today_n")).alias("today_count"),
-        F.when(floor_div(F.col("_last_us"), US_PER_DAY) == floor_div(F.col("at"), US_PER_DAY),
-               F.col("_last_us")).alias("today_last_us"),
-        *[F.col(f"_w_{n}").alias(n) for n in trailing],
+        "_n as prior_count", "_prev.at as prev_us", "_prev.where_at as prev_where", "_first as first_us",
+        "_today_n as today_count",
+        f"case when _last_us div {US_PER_DAY} = at div {US_PER_DAY} then _last_us end as today_last_us",
+        *[f"_w_{n} as {n}" for n in trailing],
+        *[f"coalesce(_first_{name} = 1, false) as first_{name}" for name in flags],
     ]
     if hours:
-        hour_total = F.element_at("_c_hours", (_hour_of("at") + 1).cast("int")) + F.col("_n") - F.col("_hour_n")
-        out.append(hour_total.alias("hour_count"))
-    for name in first_of:
-        if name == "merchant_today":
-            out.append(F.col("_today_merchants").alias("today_merchants"))
-        else:
-            out.append(F.coalesce(F.col(f"_first_{name}") == 1, F.lit(False)).alias(f"first_{name}"))
-    return parts.filter(real).select(key, "rec.*", *out).drop("where_at")
+        out.append("_c_hours[cast(_hour as int)] + _n - _hour_n as hour_count")
+    if "merchant_today" in first_of:
+        out.append("_today_merchants as today_merchants")
+    return parts.filter("_real").selectExpr(key, "rec.*", *out).drop("where_at")
 
 
 def _today_carry(totals: DataFrame, marks: DataFrame, key: str) -> DataFrame:
@@ -215,10 +222,6 @@ def _today_carry(totals: DataFrame, marks: DataFrame, key: str) -> DataFrame:
     )
     same_day = W.partitionBy(key, "_day").orderBy("slice_no").rowsBetween(W.unboundedPreceding, -1)
     return cells.select(
-        key, "slice_no", "slice_us", (start - 1).alias("at"),
+        key, "slice_no", (start - 1).alias("at"),
         F.sum("m").over(same_day).cast("int").alias("m_merchant_today"),
     ).filter("m_merchant_today > 0")
-
-
-def _hour_of(at: str) -> Column:
-    return floor_div(F.pmod(F.col(at), F.lit(US_PER_DAY)), 3_600_000_000)

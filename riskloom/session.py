@@ -14,6 +14,12 @@ SESSION_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
+# Only at session start. One job here compiles more than the default 100 cached classes, so a smaller
+# cache recompiles every stage on every run; call-site capture is costly for plans of many columns.
+STATIC_CONF = {
+    "spark.sql.codegen.cache.maxEntries": "5000",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -27,7 +33,7 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SESSION_CONF, **conf}.items():
+    for key, value in {**SESSION_CONF, **STATIC_CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
