@@ -76,13 +76,13 @@ def chronological_split(
     total = df.count()
     train_end = int(total * train_frac)
     val_end = train_end + int(total * val_frac)
-    here = F.struct(F.col(ts), F.col(tie))
+    here = F.struct(F.col(ts), F.col(tie).cast("long"))
 
     def before(position: int) -> Column:
         if position >= total:
             return F.lit(True)
         cut_ts, cut_tie = row_at(df, position, ts, tie)
-        return here < F.struct(F.lit(cut_ts), F.lit(cut_tie))
+        return here < F.struct(F.lit(cut_ts).cast("long"), F.lit(cut_tie).cast("long"))
 
     return df.withColumn(
         "split",

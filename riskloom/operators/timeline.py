@@ -25,13 +25,14 @@ from riskloom.operators.slices import US_PER_DAY, Slicing, floor_div
 
 @dataclass(frozen=True)
 class Trailing:
-    """A trailing count over [t - width_us, t), optionally of matching rows only."""
+    """A trailing count over [t - width_us, t), optionally of rows matching a SQL condition only."""
 
     width_us: int
-    where: Column | None = None
+    where: str | None = None
 
 
-_NO_LONG = F.lit(None).cast("long")
+def _no_long() -> Column:
+    return F.lit(None).cast("long")
 
 
 def _events(txn: DataFrame, key: str, trailing: dict[str, Trailing]) -> DataFrame:
@@ -46,11 +47,11 @@ def _events(txn: DataFrame, key: str, trailing: dict[str, Trailing]) -> DataFram
             *[changes.get(n, F.lit(0)).cast("int").alias(f"d_{n}") for n in trailing],
         )
 
-    matched = {n: F.lit(True) if t.where is None else F.coalesce(t.where, F.lit(False)) for n, t in trailing.items()}
+    matched = {n: F.lit(True) if t.where is None else F.coalesce(F.expr(t.where), F.lit(False)) for n, t in trailing.items()}
     ts = F.col("ts_us")
     parts = [event(ts, F.col("transaction_id"), rec, {n: m.cast("int") for n, m in matched.items()})]
     for name, spec in trailing.items():
-        leave = event(ts + spec.width_us, _NO_LONG, F.lit(None).cast(rec_type), {name: F.lit(-1)})
+        leave = event(ts + spec.width_us, _no_long(), F.lit(None).cast(rec_type), {name: F.lit(-1)})
         parts.append(leave if spec.where is None else F.when(matched[name], leave))
     return txn.select(key, F.inline(F.array_compact(F.array(*parts))))
 
@@ -63,7 +64,7 @@ def first_occurrences(txn: DataFrame, key: str, items: dict[str, list[str]], sli
     pairs = F.explode(F.array(*[
         F.struct(F.lit(name).alias("mark"),
                  *[(F.unix_date(cols[i]) if cols[i] == "day" else F.col(cols[i]).cast("long")).alias(f"k{i}")
-                   if i < len(cols) else _NO_LONG.alias(f"k{i}") for i in range(2)])
+                   if i < len(cols) else _no_long().alias(f"k{i}") for i in range(2)])
         for name, cols in items.items()
     ]))
     first = F.min(F.struct(F.col("ts_us").alias("at"), F.col("transaction_id").alias("id")))
@@ -88,7 +89,7 @@ def _slice_totals(txn: DataFrame, slicing: Slicing, trailing: dict[str, Trailing
             *[f"{_crossing(n, t, 1)} as t_{n}" for n, t in trailing.items()]]
     if any(t.where is not None for t in trailing.values()):
         rows = rows.select("*", *[
-            F.coalesce(t.where, F.lit(False)).alias(f"w_{n}") for n, t in trailing.items() if t.where is not None])
+            F.coalesce(F.expr(t.where), F.lit(False)).alias(f"w_{n}") for n, t in trailing.items() if t.where is not None])
     last_type = rows.selectExpr(f"{stay[2]}").schema["last"].dataType.simpleString()
     leave = [
         f"case when {_crossing(n, t, 1)} = 1 then struct((ts_us + {t.width_us}) div slice_us as slice_no, 0 as n, "
@@ -149,7 +150,7 @@ def entity_timeline(
         raise ValueError("timelines are cut by day")
     split_days = slicing.splits is not None
     if "where_at" not in txn.columns:
-        txn = txn.withColumn("where_at", _NO_LONG)
+        txn = txn.withColumn("where_at", _no_long())
     events = slicing.add(_events(txn, key, trailing), "at").drop("split", "slice_us")
     totals = _slice_totals(txn, slicing, trailing, hours)
     carries = _carries(totals, key, trailing, hours, split_days)

@@ -40,7 +40,7 @@ def micro_windows(short_min: int = VELOCITY_SHORT_MIN, long_min: int = VELOCITY_
     return {
         "txn_count_last_10min": Trailing(short_min * US_PER_MINUTE),
         "txn_count_last_60min": Trailing(long_min * US_PER_MINUTE),
-        "recent_failed_count_15min": Trailing(failed_min * US_PER_MINUTE, F.col("status") == "FAILED"),
+        "recent_failed_count_15min": Trailing(failed_min * US_PER_MINUTE, "status = 'FAILED'"),
     }
 
 
