@@ -5,6 +5,7 @@ They give the scoring and case operators inputs whose values SQL can restate.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,10 +15,12 @@ from riskloom.plans.alerts import generate_alerts, generate_cases
 from riskloom.plans.anomaly import AnomalySlices
 from riskloom.plans.features import transaction_features
 from riskloom.plans.matrix import feature_matrix
+from riskloom.plans.models import fit_boosted, fit_logistic, prepare
 from riskloom.plans.rules import apply_rules
 from riskloom.plans.scoring import ScoringConstants, score_transactions
-from riskloom.session import cut_lineage, tune
+from riskloom.session import cut_lineage, ensure_checkpoint_dir, tune
 from riskloom.sources import Star, star_from_driver_tables
+from riskloom.sources.driver_view import transactions_of
 from riskloom.sources.star import labelled
 
 _BENCHES: dict[tuple[str, str], Workbench] = {}
@@ -121,3 +124,36 @@ class Workbench:
             F.concat_ws(" ", F.lit("step"), "seq").alias("notes"),
             F.when(F.col("action_type") == "CLOSE", F.col("resolved_at")).otherwise(
                 F.col("created_at") + F.make_interval(mins=F.col("seq").cast("int"))).alias("performed_at"))
+
+    @cached_property
+    def prepared(self):
+        return prepare(self.matrix)
+
+    @cached_property
+    def logistic(self):
+        return fit_logistic(self.prepared.part("train"))
+
+    @cached_property
+    def boosted(self):
+        from checks.registry import SHORT_GRID
+        return fit_boosted(self.prepared.part("train"), self.prepared.part("validation"), SHORT_GRID)
+
+    # ---- streaming: the events file as a file source, results written to the shared folder
+    @property
+    def arriving(self) -> DataFrame:
+        events = self.spark.read.parquet(f"{self.sf_dir}/events.parquet")
+        return transactions_of(
+            self.spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(self.sf_dir))
+
+    def run_folder(self, name: str) -> str:
+        """A new folder per run beside the checkpoints, which every executor can reach."""
+        ensure_checkpoint_dir(self.spark)
+        return f"{self.spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:8]}"
+
+    def finish(self, streaming: DataFrame, name: str) -> DataFrame:
+        """Runs the stream over all available input and returns what it wrote."""
+        run = self.run_folder(name)
+        query = (streaming.writeStream.format("parquet").option("path", f"{run}/out")
+                 .option("checkpointLocation", f"{run}/progress").trigger(availableNow=True).start())
+        query.awaitTermination()
+        return self.spark.read.schema(streaming.schema).parquet(f"{run}/out")

@@ -861,3 +861,119 @@ def _travel(b):
     here = [F.col(c) for c in ("last_location_lat", "last_location_lon", "current_location_lat", "current_location_lon")]
     hours = (F.col("ts_us") - F.col("prev_us")) / 3_600_000_000
     return f.select("transaction_id", r4(haversine_km(*here), "distance_km"), r4(implied_speed_kmh(*here, hours), "implied_speed_kmh"))
+
+
+# ---------------------------------------------------------------- models (no SQL form: rows only)
+# Same depths and step sizes as the default grid with a tenth of the trees, to keep the check short.
+SHORT_GRID = [{"maxDepth": 3, "maxIter": 15, "stepSize": 0.1}, {"maxDepth": 4, "maxIter": 20, "stepSize": 0.1},
+              {"maxDepth": 5, "maxIter": 30, "stepSize": 0.05}]
+
+
+@query("isolation_forest_scores")
+def _forest(b):
+    from riskloom.plans.forest import with_whole_data_score
+    return with_whole_data_score(b.matrix).select("transaction_id", "isolation_forest_score")
+
+
+@query("isolation_forest_train_only_scores")
+def _forest_train(b):
+    return b.prepared.rows.select("transaction_id", "split", "isolation_forest_score")
+
+
+@query("isolation_forest_evaluation")
+def _forest_eval(b):
+    return E.unsupervised_evaluation(b.prepared.rows, "isolation_forest_score")
+
+
+@query("encoded_features")
+def _encoded(b):
+    from pyspark.ml.functions import vector_to_array
+    return b.prepared.rows.select("transaction_id", vector_to_array("plain").alias("plain"), vector_to_array("scaled").alias("scaled"))
+
+
+@query("logistic_regression_evaluation")
+def _logistic(b):
+    from riskloom.plans.models import evaluate_model
+    return evaluate_model(b.prepared, b.logistic, "logistic")
+
+
+@query("boosted_trees_selection")
+def _boosted_trials(b):
+    return b.boosted.trials
+
+
+@query("boosted_trees_evaluation")
+def _boosted(b):
+    from riskloom.plans.models import evaluate_model
+    return evaluate_model(b.prepared, b.boosted.model, "boosted")
+
+
+@query("linear_attribution_global")
+def _linear_global(b):
+    from riskloom.plans.attribution import global_importance, linear_contributions
+    return global_importance(linear_contributions(b.prepared, b.logistic), b.prepared.preprocessor.names)
+
+
+@query("tree_attribution_global")
+def _tree_global(b):
+    from riskloom.plans.attribution import global_importance, held_out_sample, tree_contributions
+    return global_importance(tree_contributions(held_out_sample(b.prepared.rows), b.boosted.model), b.prepared.preprocessor.names)
+
+
+@query("tree_attribution_rows")
+def _tree_rows(b):
+    """Every held-out row, not a sample."""
+    from riskloom.plans.attribution import top_contributors, tree_contributions
+    held_out = b.prepared.rows.filter("split = 'test'")
+    return top_contributors(tree_contributions(held_out, b.boosted.model), b.prepared.preprocessor.names, 8)
+
+
+@query("risk_scores_with_models")
+def _model_scores(b):
+    from riskloom.plans.models import with_probability
+    from riskloom.plans.scoring import risk_scores, score_transactions
+    rows = with_probability(b.prepared.rows, b.boosted.model, "ml_probability")
+    return risk_scores(score_transactions(rows, F.col("ml_probability"), F.col("isolation_forest_score"))[0])
+
+
+# ---------------------------------------------------------------- streaming
+@query("stream_rule_firings", S.FIRED, f"""
+    SELECT transaction_id, rule_id, severity, {d4('measure', 'measure')} FROM fired""")
+def _stream_rules(b):
+    from riskloom.streaming.scorer import start_scoring
+    run = b.run_folder("scorer")
+    start_scoring(b.arriving, b.star, f"{run}/history", f"{run}/firings", f"{run}/progress").awaitTermination()
+    return b.spark.read.parquet(f"{run}/firings").select("transaction_id", "rule_id", "severity", r4("measure"))
+
+
+@query("stream_velocity_counts", S.FEATURES, """
+    SELECT transaction_id, n10 AS txn_count_last_10min, n60 AS txn_count_last_60min, f15 AS recent_failed_count_15min FROM feat""")
+def _stream_velocity(b):
+    from riskloom.streaming.counters import velocity_counts
+    return b.finish(velocity_counts(b.arriving), "counters").drop("customer_id")
+
+
+@query("stream_baseline_enrichment", S.FEATURES, f"""
+    SELECT transaction_id, {d4('avg90', 'customer_avg', 2)}, {d4('std90', 'customer_std', 2)}, {d4('m_avg90', 'merchant_avg', 2)},
+      {d4('m_rate90', 'merchant_rate')} FROM feat""")
+def _stream_enrich(b):
+    from riskloom.streaming.enrich import with_baselines
+    out = with_baselines(b.arriving, customer_daily(b.star.txn), merchant_daily(b.star.txn, b.star.labels))
+    return b.finish(out, "enrich").select(
+        "transaction_id", r4("txn_amount_avg_90d", "customer_avg", 2), r4("txn_amount_stddev_90d", "customer_std", 2),
+        r4("avg_txn_amount_90d", "merchant_avg", 2), r4("chargeback_rate_90d", "merchant_rate"))
+
+
+@query("stream_alert_sessions", S.CASES, f"""
+    SELECT customer_id, count(*) AS alerts, {d4('max(combined_score)', 'top_score', 5)}, {d4('sum(financial_exposure)', 'exposure', 2)},
+      {t6('min(created_at)', 'first_at')}, {t6('max(created_at)', 'last_at')} FROM alerts
+    GROUP BY customer_id, dedup_group_id
+    HAVING max(created_at) + INTERVAL 60 MINUTE <= (SELECT date_trunc('millisecond', max(created_at)) - INTERVAL 1 DAY FROM alerts)""")
+def _stream_sessions(b):
+    from riskloom.streaming.sessions import alert_sessions
+    folder = b.run_folder("alerts")
+    b.alerts.repartition(4).write.parquet(f"{folder}/in")
+    arriving = b.spark.readStream.schema(b.alerts.schema).parquet(f"{folder}/in")
+    return b.finish(alert_sessions(arriving), "sessions").select(
+        "customer_id", "alerts", r4("top_score", digits=5), r4("exposure", digits=2), ts_text("first_at", "first_at"),
+        ts_text("last_at", "last_at"))
