@@ -7,6 +7,7 @@ are drawn again on a retry.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,7 +59,7 @@ def _tree_samples(train: DataFrame, rows: int, trees: int, tree_rows: int, seed:
 def _grow(tree_rows: int, seed: int, width: int):
     limit = int(np.ceil(np.log2(max(tree_rows, 2))))
 
-    def one_tree(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one_tree(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         pdf = pdf.sort_values(["draw", "transaction_id"]).head(tree_rows)
         x = np.stack(pdf["x"].to_numpy()).astype(float).reshape(-1, width)
@@ -102,7 +103,7 @@ class Forest:
         shared = spark.sparkContext.broadcast(self.nodes)
         scale = _expected_depth(self.sample_rows)
 
-        def score(batches):
+        def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             nodes = shared.value
             feature, threshold, path = nodes["feature"], nodes["threshold"], nodes["path"]
             children = np.stack([nodes["left"], nodes["right"]])
@@ -118,7 +119,7 @@ class Forest:
                     total += path[at]
                 yield pd.Series(np.exp2(-total / len(nodes["roots"]) / scale))
 
-        udf = F.pandas_udf(score, DoubleType(), F.PandasUDFType.SCALAR_ITER)
+        udf = F.pandas_udf(score, DoubleType())
         return df.withColumn(into, udf(*self.matrix_columns()))
 
     def score(self, df: DataFrame, into: str = "isolation_forest_score", clip: bool = True) -> DataFrame:
