@@ -4,6 +4,9 @@ A window over ``partitionBy(entity)`` puts an entity into one task. Here an enti
 cut into slices, each slice is its own window partition, and what a slice must know about the past
 arrives as one *carry row* made from per-slice totals. Entities whose busiest slice exceeds
 ``max_rows`` get finer slices, by a power of two.
+
+Where a count shows an entity's *whole* history to be small (``SMALL_ENTITY_ROWS``), a plain window
+over it is bounded too and costs less; ``plan_slices`` finds out which entities that holds for.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ MAX_SPLIT = 8192
 # A split entity has more than MAX_SLICE_ROWS rows, so this table has at most rows/MAX_SLICE_ROWS
 # entries; beyond this many it is joined without a broadcast hint.
 MAX_BROADCAST_KEYS = 200_000
+# Up to here a sliding frame over an entity's whole history is cheap (rows x frame stays small).
+SMALL_ENTITY_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -33,6 +38,9 @@ class Slicing:
     width_us: int
     splits: DataFrame | None = None
     broadcast: bool = True
+    # Entities above SMALL_ENTITY_ROWS: 'none' of them, 'some' (listed in ``large``), or not known.
+    large_entities: str = "unknown"
+    large: DataFrame | None = None
 
     def add(self, df: DataFrame, at: str = "ts_us") -> DataFrame:
         """Adds ``split``, ``slice_us`` (width) and ``slice_no`` for the time column ``at``."""
@@ -51,17 +59,24 @@ def floor_div(value: Column, width: Column | int) -> Column:
     return ((value - F.pmod(value, width)) / width).cast("long")
 
 
-def plan_slices(df: DataFrame, key: str, width_us: int, max_rows: int = MAX_SLICE_ROWS) -> Slicing:
-    """Looks for entities with an overfull slice. Runs a count, and a keyed count only if needed."""
-    if df.count() <= max_rows:
-        return Slicing(key, width_us)
-    overfull = (
-        df.groupBy(key, floor_div(F.col("ts_us"), width_us).alias("_slice")).count()
-        .filter(F.col("count") > max_rows)
-    )
-    needed = F.pow(F.lit(2), F.ceil(F.log2(F.col("count") / F.lit(max_rows)))).cast("int")
-    splits = overfull.groupBy(key).agg(F.max(F.least(needed, F.lit(MAX_SPLIT))).alias("split"))
-    found = splits.limit(MAX_BROADCAST_KEYS + 1).count()
-    if found == 0:
+def plan_slices(
+    df: DataFrame, key: str, width_us: int, max_rows: int = MAX_SLICE_ROWS, small_rows: int | None = None,
+) -> Slicing:
+    """Looks for entities with an overfull slice, by a grouped count where the total leaves room for one.
+
+    ``small_rows`` also asks which entities have more rows than that altogether.
+    """
+    if small_rows is None and df.count() <= max_rows:
         return Slicing(key, width_us)
-    return Slicing(key, width_us, splits, broadcast=found <= MAX_BROADCAST_KEYS)
+    per_slice = df.groupBy(key, floor_div(F.col("ts_us"), width_us).alias("_slice")).count()
+    needed = F.greatest(F.lit(0), F.ceil(F.log2(F.max("count") / F.lit(max_rows))))
+    per_key = per_slice.groupBy(key).agg(
+        F.sum("count").alias("_rows"), F.least(F.pow(F.lit(2), needed).cast("int"), F.lit(MAX_SPLIT)).alias("split"))
+    found = per_key.agg(
+        F.count_if(F.col("split") > 1).alias("split"), F.count_if(F.col("_rows") > (small_rows or 0)).alias("large")).first()
+    splits = per_key.filter("split > 1").select(key, "split") if found["split"] else None
+    known, large = "unknown", None
+    if small_rows is not None and found["large"] <= MAX_BROADCAST_KEYS:
+        known = "some" if found["large"] else "none"
+        large = per_key.filter(F.col("_rows") > small_rows).select(key) if found["large"] else None
+    return Slicing(key, width_us, splits, found["split"] <= MAX_BROADCAST_KEYS, known, large)

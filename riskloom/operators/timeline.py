@@ -10,6 +10,8 @@ One exchange brings everything a slice needs into one window partition of (entit
 * one *carry* per (entity, slice): everything the earlier slices add up to, from a prefix window
   over per-slice totals.
 
+Entities known to be small as a whole skip all that: plain windows over the entity do (``_whole_entity``).
+
 Counts are of rows strictly earlier in time, [t - w, t); "previous row" and first occurrences break
 equal times by ``transaction_id``.
 """
@@ -144,13 +146,54 @@ def entity_timeline(
     per trailing spec its count; with ``hours`` ``hour_count``; per ``first_of`` name a boolean, and
     for the name ``merchant_today`` the number of distinct values seen earlier that day.
     """
-    key = slicing.key
     first_of = first_of or {}
     if slicing.width_us != US_PER_DAY:
         raise ValueError("timelines are cut by day")
-    split_days = slicing.splits is not None
     if "where_at" not in txn.columns:
         txn = txn.withColumn("where_at", _no_long())
+    if slicing.large_entities == "none":
+        return _whole_entity(txn, slicing.key, trailing, first_of, hours)
+    if slicing.large_entities == "some":
+        # At most MAX_BROADCAST_KEYS keys were counted.
+        large = F.broadcast(slicing.large)
+        small = txn.join(large, slicing.key, "left_anti")
+        sliced = _sliced(txn.join(large, slicing.key, "left_semi"), slicing, trailing, first_of, hours)
+        return _whole_entity(small, slicing.key, trailing, first_of, hours).unionByName(sliced)
+    return _sliced(txn, slicing, trailing, first_of, hours)
+
+
+def _whole_entity(
+    txn: DataFrame, key: str, trailing: dict[str, Trailing], first_of: dict[str, list[str]], hours: bool,
+) -> DataFrame:
+    """Plain windows, all on one exchange by entity. Only for entities counted as small."""
+    def over(*cells: str, order: str = "ts_us, transaction_id", frame: str = "") -> str:
+        return f"over (partition by {', '.join([key, *cells])} order by {order} {frame})"
+
+    strictly = "range between unbounded preceding and 1 preceding"
+    firsts = {n: f"row_number() {over(*cols)} = 1" for n, cols in first_of.items()}
+    counts = [
+        f"count({'1' if t.where is None else f'case when {t.where} then 1 end'}) "
+        f"{over(order='ts_us', frame=f'range between {t.width_us} preceding and 1 preceding')} as {n}"
+        for n, t in trailing.items()
+    ]
+    line = txn.selectExpr(
+        "*", f"row_number() {over()} - 1L as prior_count", f"lag(ts_us) {over()} as prev_us",
+        f"lag(where_at) {over()} as prev_where",
+        f"min(ts_us) {over(frame='rows between unbounded preceding and 1 preceding')} as first_us", *counts,
+        *([f"row_number() {over('hour')} - 1L as hour_count"] if hours else []),
+        *[f"{test} as first_{n}" for n, test in firsts.items()],
+    )
+    today = over("ts_us div 86400000000", order="ts_us", frame=strictly)
+    line = line.selectExpr(
+        "*", f"count(1) {today} as today_count", f"max(ts_us) {today} as today_last_us",
+        *([f"coalesce(sum(int(first_merchant_today)) {today}, 0L) as today_merchants"] if "merchant_today" in first_of else []))
+    return line.drop("first_merchant_today", "where_at")
+
+
+def _sliced(
+    txn: DataFrame, slicing: Slicing, trailing: dict[str, Trailing], first_of: dict[str, list[str]], hours: bool,
+) -> DataFrame:
+    key, split_days = slicing.key, slicing.splits is not None
     events = slicing.add(_events(txn, key, trailing), "at").drop("split", "slice_us")
     totals = _slice_totals(txn, slicing, trailing, hours)
     carries = _carries(totals, key, trailing, hours, split_days)

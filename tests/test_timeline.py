@@ -65,10 +65,12 @@ def brute(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out).sort_values("transaction_id").reset_index(drop=True)
 
 
-@pytest.mark.parametrize("max_rows", [2_000_000, 40, 3])
-def test_timeline_equals_brute_force(spark, txn, max_rows):
-    slicing = plan_slices(txn, "customer_id", US_PER_DAY, max_rows)
-    assert (slicing.splits is None) == (max_rows > 1000)
+@pytest.mark.parametrize("max_rows,small_rows,large", [
+    (2_000_000, None, "unknown"), (40, None, "unknown"), (3, None, "unknown"),  # all sliced
+    (2_000_000, 10_000, "none"), (40, 100, "some")])
+def test_timeline_equals_brute_force(spark, txn, max_rows, small_rows, large):
+    slicing = plan_slices(txn, "customer_id", US_PER_DAY, max_rows, small_rows)
+    assert (slicing.splits is None) == (max_rows > 1000) and slicing.large_entities == large
     got = entity_timeline(txn, slicing, WINDOWS, first_of=FIRST_OF, hours=True).toPandas()
     want = brute(txn.toPandas())
     got = got.sort_values("transaction_id").reset_index(drop=True)[want.columns]
