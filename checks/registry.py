@@ -15,7 +15,7 @@ from riskloom.functions import haversine_km, implied_speed_kmh
 from riskloom.operators.asof import asof_previous_day
 from riskloom.operators.baselines import customer_daily, merchant_daily
 from riskloom.operators.ordering import chronological_split
-from riskloom.operators.slices import US_PER_DAY
+from riskloom.operators.slices import US_PER_DAY, plan_slices
 from riskloom.plans import alerts as A, cases as C, evaluation as E, exposure as X, quality as Q, reports as R, rules as U, search as P
 from riskloom.plans.anomaly import AnomalySlices, frequency_windows, statistical_features
 from riskloom.plans.features import micro_windows, transaction_features
@@ -177,7 +177,7 @@ def _asof_merchant(b):
 
 
 # ---------------------------------------------------------------- point-in-time features
-@query("point_in_time_features", S.FEATURES + """,
+_FEATURES_SQL = (S.FEATURES + """,
     today AS (
       SELECT t.transaction_id, count(DISTINCT u.merchant_id) AS today_m
       FROM txn t LEFT JOIN txn u ON u.customer_id = t.customer_id AND u.day = t.day AND u.ts_us < t.ts_us
@@ -193,12 +193,26 @@ def _asof_merchant(b):
       {d4('lon', 'current_location_lon')}, hour_prior AS txns_at_this_hour, prior AS total_prior_txns,
       has_history AS has_sufficient_history
     FROM feat JOIN today USING (transaction_id)""")
+
+
+@query("point_in_time_features", *_FEATURES_SQL)
 def _features(b):
+    return _features_out(b.features)
+
+
+@query("point_in_time_features_split_slices", *_FEATURES_SQL)
+def _features_split(b):
+    """Every customer with more than two rows on a day counts as hot: slices shorter than a day."""
+    hot = plan_slices(b.star.txn, "customer_id", US_PER_DAY, max_rows=2)
+    return _features_out(transaction_features(b.star, slicing=hot))
+
+
+def _features_out(df):
     rounded = {"customer_baseline_avg_90d": 2, "customer_baseline_stddev_90d": 2, "merchant_avg_amount_90d": 2,
                "amount_zscore": 4, "merchant_chargeback_rate_90d": 4, "seconds_since_last_txn": 6,
                "last_location_lat": 4, "last_location_lon": 4, "current_location_lat": 4, "current_location_lon": 4}
     from riskloom.plans.features import FEATURES
-    return b.features.select("transaction_id", *[
+    return df.select("transaction_id", *[
         r4(f, digits=rounded[f]) if f in rounded else ts_text(f, f) if f == "last_txn_ts_any" else F.col(f)
         for f in FEATURES])
 
@@ -212,7 +226,8 @@ def _wide_counts(b):
     """Windows longer than a slice, so the carries between slices do the work."""
     from riskloom.operators.timeline import entity_timeline
     from riskloom.sources.star import located
-    line = entity_timeline(located(b.star), b.slices.customer_days, _WIDE)
+    sliced = plan_slices(b.star.txn, "customer_id", US_PER_DAY)
+    line = entity_timeline(located(b.star), sliced, _WIDE)
     return line.select("transaction_id", F.col("txn_count_last_10min").alias("count_24h"),
                        F.col("txn_count_last_60min").alias("count_72h"),
                        F.col("recent_failed_count_15min").alias("failed_24h"))
@@ -311,6 +326,13 @@ def _stats_short(b):
         b.star, slices=AnomalySlices.plan(b.star, window_days=9), windows=frequency_windows(3, 9)))
 
 
+@query("statistical_features_9d_3d_split_chunks", S.TXN + "," + S.stats(9, 3), _STAT_SQL)
+def _stats_split(b):
+    """Customers and merchants with more than 20 rows in a window are cut into shorter chunks."""
+    slices = AnomalySlices.plan(b.star, window_days=9, max_rows=20, small_rows=None)
+    return _stat_out(statistical_features(b.star, slices=slices, windows=frequency_windows(3, 9)))
+
+
 # ---------------------------------------------------------------- matrix and scores
 @query("feature_matrix", S.SCORES, f"""
     SELECT b.transaction_id, b.is_fraud, b.fraud_typology, {d4('b.amount', 'amount', 2)}, {d4('b.z', 'amount_zscore')},

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from riskloom.operators.baselines import customer_daily, merchant_daily
 from riskloom.operators.ordering import chronological_split
 from riskloom.plans import alerts as A, cases as C, evaluation as E, exposure as X, rules as U
-from riskloom.plans.anomaly import AnomalySlices, statistical_features
+from riskloom.plans.anomaly import (
+    AnomalySlices, frequency_windows, with_behavioral_score, with_frequency_z, with_iqr_scores,
+)
 from riskloom.plans.attribution import global_importance, held_out_sample, top_contributors, tree_contributions
 from riskloom.plans.features import transaction_features
 from riskloom.plans.forest import with_whole_data_score
@@ -68,14 +70,14 @@ def run_statistics(spark: SparkSession, root: str) -> DataFrame:
     """Behavioural scores and a whole-data forest, evaluated against the labels afterwards."""
     star = read_star(spark, root)
     slices = AnomalySlices.plan(star)
-    features = transaction_features(star, **_baselines(spark, root), slicing=slices.customer_days)
-    stats = statistical_features(star, slices=slices).select(
-        "transaction_id", "customer_amount_iqr_score", "merchant_amount_iqr_score", "frequency_deviation_zscore",
-        "behavioral_anomaly_score")
-    rows = cut_lineage(features.withColumnsRenamed({
+    features = transaction_features(
+        star, **_baselines(spark, root), slicing=slices.customer_days, extra_trailing=frequency_windows())
+    rows = with_behavioral_score(with_iqr_scores(with_frequency_z(features), star, slices)).withColumnsRenamed({
         "customer_distinct_merchants_30d": "distinct_merchants_30d",
-        "customer_distinct_devices_30d": "distinct_devices_30d"}).join(stats, "transaction_id", "left"))
-    scored = with_whole_data_score(rows).select(*stats.columns, "isolation_forest_score")
+        "customer_distinct_devices_30d": "distinct_devices_30d"})
+    scored = with_whole_data_score(cut_lineage(rows)).select(
+        "transaction_id", "customer_amount_iqr_score", "merchant_amount_iqr_score", "frequency_deviation_zscore",
+        "behavioral_anomaly_score", "isolation_forest_score")
     sinks.full_refresh(scored, f"{root}/behavioral_features")
     judged = labelled(spark.read.parquet(f"{root}/behavioral_features"), star.labels)
     return E.unsupervised_evaluation(judged, "behavioral_anomaly_score").unionByName(

@@ -19,11 +19,11 @@ def exact_quantiles(
     pass counts at most ``BUCKETS`` buckets per order statistic, the bucket holding the rank becomes
     the next range, until it holds a single value or few rows.
     """
-    stats = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}")
-                     for c in columns for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-    if max(stats[f"n_{c}"] for c in columns) <= direct_rows:
+    if df.count() <= direct_rows:
         found = df.agg(*[F.percentile(F.col(c).cast("double"), qs).alias(c) for c in columns]).first()
         return {c: found[c] for c in columns}
+    stats = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}")
+                     for c in columns for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
 
     # (column, rank) -> [low, high, rank inside the range], shrinking until resolved.
     ranges: dict[tuple[str, int], list] = {}

@@ -31,8 +31,10 @@ class AnomalySlices:
     @staticmethod
     def plan(star: Star, window_days: int = LONG_DAYS, **kw) -> AnomalySlices:
         width = window_days * US_PER_DAY
+        days = {"small_rows": SMALL_ENTITY_ROWS, **kw}
+        kw.pop("small_rows", None)
         return AnomalySlices(
-            plan_slices(star.txn, "customer_id", US_PER_DAY, **{"small_rows": SMALL_ENTITY_ROWS, **kw}),
+            plan_slices(star.txn, "customer_id", US_PER_DAY, **days),
             plan_slices(star.txn, "customer_id", width, **kw),
             plan_slices(star.txn, "merchant_id", width, **kw),
         )

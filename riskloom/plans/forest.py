@@ -8,11 +8,11 @@ are drawn again on a retry.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from riskloom.operators.quantile_cut import exact_quantiles
@@ -36,7 +36,7 @@ def _expected_depth(n: float) -> float:
     return 1.0 if n == 2 else 2.0 * (np.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
-def _draw(seed: int, *cols) -> F.Column:
+def _draw(seed: int, *cols) -> Column:
     """Uniform number in [0, 1) from a hash."""
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 30)) / float(1 << 30)
 
@@ -94,7 +94,7 @@ class Forest:
     low: float = 0.0
     high: float = 1.0
 
-    def matrix_columns(self) -> list[F.Column]:
+    def matrix_columns(self) -> list[Column]:
         return [F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])) for c in FOREST_FEATURES]
 
     def raw_score(self, df: DataFrame, into: str) -> DataFrame:
@@ -122,14 +122,23 @@ class Forest:
         udf = F.pandas_udf(score, DoubleType())
         return df.withColumn(into, udf(*self.matrix_columns()))
 
-    def score(self, df: DataFrame, into: str = "isolation_forest_score", clip: bool = True) -> DataFrame:
-        """Min-max normalised by the fitting rows' range; later rows are clipped into it."""
-        raw = self.raw_score(df, "_raw")
+    def with_range(self, raw: DataFrame) -> Forest:
+        span = raw.agg(F.min("_raw"), F.max("_raw")).first()
+        return replace(self, low=span[0], high=span[1])
+
+    def normalized(self, raw: DataFrame, into: str = "isolation_forest_score") -> DataFrame:
+        """Min-max by the fitting rows' range, clipped to [0, 1]."""
         unit = (F.col("_raw") - self.low) / ((self.high - self.low) or 1.0)
-        return raw.withColumn(into, F.least(F.greatest(unit, F.lit(0.0)), F.lit(1.0)) if clip else unit).drop("_raw")
+        return raw.withColumn(into, F.least(F.greatest(unit, F.lit(0.0)), F.lit(1.0))).drop("_raw")
+
+    def score(self, df: DataFrame, into: str = "isolation_forest_score") -> DataFrame:
+        return self.normalized(self.raw_score(df, "_raw"), into)
 
 
-def fit_forest(train: DataFrame, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = SEED) -> Forest:
+def fit_forest(
+    train: DataFrame, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = SEED, measure: bool = True,
+) -> Forest:
+    """``measure`` also scores ``train`` once to learn the score range."""
     cuts = exact_quantiles(train, FOREST_FEATURES, [0.5])
     medians = {c: (v[0] if v and v[0] is not None else 0.0) for c, v in cuts.items()}
     draft = Forest(medians, {}, tree_rows)
@@ -149,15 +158,23 @@ def fit_forest(train: DataFrame, trees: int = TREES, tree_rows: int = TREE_ROWS,
         "depth": np.array(int(np.ceil(np.log2(max(tree_rows, 2))))),
     }
     fitted = Forest(medians, nodes, min(tree_rows, rows))
-    span = fitted.raw_score(train, "_raw").agg(F.min("_raw"), F.max("_raw")).first()
-    return Forest(medians, nodes, min(tree_rows, rows), span[0], span[1])
+    if not measure:
+        return fitted
+    return fitted.with_range(fitted.raw_score(train, "_raw"))
+
+
+def _fit_and_score(df: DataFrame, train: Column | None, **kw) -> DataFrame:
+    """Scores every row once; the range is then read from the written raw scores of the fitting rows."""
+    forest = fit_forest(df if train is None else df.filter(train), measure=False, **kw)
+    raw = cut_lineage(forest.raw_score(df, "_raw"))
+    return forest.with_range(raw if train is None else raw.filter(train)).normalized(raw)
 
 
 def with_whole_data_score(df: DataFrame, **kw) -> DataFrame:
     """Unsupervised variant: fitted on and applied to the same rows."""
-    return fit_forest(df, **kw).score(df)
+    return _fit_and_score(df, None, **kw)
 
 
 def with_train_only_score(df: DataFrame, **kw) -> DataFrame:
-    """Fitted on split = 'train' only, applied to every row."""
-    return cut_lineage(fit_forest(df.filter("split = 'train'"), **kw).score(df))
+    """Fitted on split = 'train' only, applied to every row; later rows are clipped into its range."""
+    return _fit_and_score(df, F.col("split") == "train", **kw)
