@@ -41,12 +41,8 @@ def trailing_quantiles_asof(txn: DataFrame, slicing: Slicing) -> DataFrame:
     parts = cells.unionByName(handover, allowMissingColumns=True)
 
     if slicing.splits is not None:
-        counts = rows.filter("split > 1").groupBy(key, "slice_no", "split", "cents").agg(F.count("*").alias("n"))
-        standing = counts.select(
-            key, "cents", "n", F.explode(F.sequence(F.col("slice_no") + 1, F.col("slice_no") + F.col("split") - 1)).alias("chunk"),
-        ).groupBy(key, "chunk", "cents").agg(F.sum("n").alias("n"))
-        parts = parts.unionByName(
-            standing.withColumn("role", F.lit(STANDING)), allowMissingColumns=True)
+        standing = _standing_counts(rows, key).withColumn("role", F.lit(STANDING))
+        parts = parts.unionByName(standing, allowMissingColumns=True)
 
     # Python-bound stage: keep the full number of partitions instead of letting AQE coalesce by bytes.
     pieces = int(txn.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -54,6 +50,25 @@ def trailing_quantiles_asof(txn: DataFrame, slicing: Slicing) -> DataFrame:
     return parts.groupBy(key, "chunk").applyInArrow(_chunk_quantiles(slicing.width_us), _OUT)
 
 
+def _standing_counts(rows: DataFrame, key: str) -> DataFrame:
+    """(key, chunk, cents, n): copies of each value that stay in the window all through the chunk.
+
+    Rows of slice s stand in chunks s+1 .. s+k-1. Per value that is a step function of the chunk, so
+    it is summed from its +n/-n steps and only then spread over the chunks between two steps: the
+    output is one row per chunk and standing value, never one per row and chunk.
+    """
+    per_slice = rows.filter("split > 1").groupBy(key, "slice_no", "split", "cents").agg(F.count("*").alias("n"))
+    steps = (
+        per_slice.selectExpr(key, "cents", "inline(array(struct(slice_no + 1 as chunk, n as step), "
+                             "struct(slice_no + split as chunk, -n as step)))")
+        .groupBy(key, "cents", "chunk").agg(F.sum("step").alias("step"))
+    )
+    along = W.partitionBy(key, "cents").orderBy("chunk")  # at most two rows per slice of the entity
+    spans = steps.select(
+        key, "cents", "chunk", F.sum("step").over(along).alias("n"), (F.lead("chunk").over(along) - 1).alias("_last"))
+    return spans.filter("n > 0").select(key, "cents", "n", F.explode(F.sequence("chunk", "_last")).alias("chunk"))
+
+
 class _SortedValues:
     """Multiset as a plain sorted list: fastest while a window holds few values."""
 
