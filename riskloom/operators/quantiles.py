@@ -20,6 +20,8 @@ from riskloom.operators.slices import Slicing
 
 OWN, LEAVING, STANDING, HANDOVER = 0, 1, 2, 3
 
+GROUP_ROWS = 20_000
+
 _OUT = "transaction_id long, q1 double, median double, q3 double, prior_count long"
 
 
@@ -44,10 +46,15 @@ def trailing_quantiles_asof(txn: DataFrame, slicing: Slicing) -> DataFrame:
         standing = _standing_counts(rows, key).withColumn("role", F.lit(STANDING))
         parts = parts.unionByName(standing, allowMissingColumns=True)
 
-    # Python-bound stage: keep the full number of partitions instead of letting AQE coalesce by bytes.
+    # Entities share a Python call by hash, about GROUP_ROWS rows at a time: a call per entity would
+    # cost more than its rows. An entity's chunk is bounded by the slicing, so a call is too. The
+    # stage is Python-bound: it keeps all partitions instead of letting AQE coalesce them by bytes.
     pieces = int(txn.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = parts.select(key, "chunk", "role", "transaction_id", "ts_us", "cents", "n").repartition(pieces, key, "chunk")
-    return parts.groupBy(key, "chunk").applyInArrow(_chunk_quantiles(slicing.width_us), _OUT)
+    groups = max(pieces, slicing.rows // GROUP_ROWS)
+    parts = parts.select(
+        F.pmod(F.xxhash64(key), F.lit(groups)).alias("cell"), F.col(key).alias("entity"), "chunk", "role",
+        "transaction_id", "ts_us", "cents", "n").repartition(pieces, "cell", "chunk")
+    return parts.groupBy("cell", "chunk").applyInArrow(_cell_quantiles(slicing.width_us), _OUT)
 
 
 def _standing_counts(rows: DataFrame, key: str) -> DataFrame:
@@ -130,38 +137,47 @@ def _quantile(window, q: float) -> float:
     return (below + (window.at_rank(low + 1) - below) * (spot - low)) / 100.0
 
 
-def _chunk_quantiles(window_us: int):
-    def one_chunk(cell: pa.Table) -> pa.Table:
-        role = cell.column("role").to_numpy()
-        ids, ts, cents, n = (
-            cell.column(c).fill_null(0).to_numpy() for c in ("transaction_id", "ts_us", "cents", "n"))
-        own, leaving = np.flatnonzero(role == OWN), np.flatnonzero(role == LEAVING)
-        standing = np.flatnonzero(role == STANDING)
+def _cell_quantiles(window_us: int):
+    """Handles every entity of a (hash cell, chunk) group on its own."""
+    def one_cell(cell: pa.Table) -> pa.Table:
+        entity = cell.column("entity").to_numpy()
+        arrays = [cell.column(c).fill_null(0).to_numpy() for c in ("role", "transaction_id", "ts_us", "cents", "n")]
+        order = np.argsort(entity, kind="stable")
+        borders = np.flatnonzero(np.diff(entity[order])) + 1
         out: list[tuple] = []
-        if len(own):
-            own = own[np.lexsort((ids[own], ts[own]))]
-            leaving = leaving[np.argsort(ts[leaving], kind="stable")]
-            small = not len(standing) and len(own) + len(leaving) <= _LIST_ROWS
-            window = _SortedValues() if small else _ValueCounts(np.unique(cents[role != HANDOVER]))
-            for value, copies in zip(cents[standing].tolist(), n[standing].tolist()):
-                window.add(value, copies)
-            leave_at, leave_value = (ts[leaving] + window_us).tolist(), cents[leaving].tolist()
-            for value in leave_value:
-                window.add(value, 1)
-            # A chunk is at most one window long, so its own rows never leave inside it. The state
-            # after a row belongs to the row that follows, in this chunk or the entity's next one.
-            receivers = ids[own].tolist()[1:] + ids[role == HANDOVER].tolist()
-            gone = 0
-            for receiver, at, value in zip(receivers, ts[own].tolist(), cents[own].tolist()):
-                while gone < len(leave_at) and leave_at[gone] <= at:
-                    window.drop(leave_value[gone])
-                    gone += 1
-                window.add(value, 1)
-                out.append((receiver, _quantile(window, 0.25), _quantile(window, 0.5),
-                            _quantile(window, 0.75), window.total))
+        for index in np.split(order, borders):
+            out += _chunk_rows(window_us, *[a[index] for a in arrays])
         columns = list(zip(*out)) if out else [[]] * 5
         types = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)],
                         names=["transaction_id", "q1", "median", "q3", "prior_count"])
 
-    return one_chunk
+    return one_cell
+
+
+def _chunk_rows(window_us: int, role: np.ndarray, ids: np.ndarray, ts: np.ndarray, cents: np.ndarray,
+                n: np.ndarray) -> list[tuple]:
+    """One entity's chunk: (receiving row, q1, median, q3, count) after each of its own rows."""
+    own, leaving, standing = (np.flatnonzero(role == r) for r in (OWN, LEAVING, STANDING))
+    if not len(own):
+        return []
+    own = own[np.lexsort((ids[own], ts[own]))]
+    leaving = leaving[np.argsort(ts[leaving], kind="stable")]
+    small = not len(standing) and len(own) + len(leaving) <= _LIST_ROWS
+    window = _SortedValues() if small else _ValueCounts(np.unique(cents[role != HANDOVER]))
+    for value, copies in zip(cents[standing].tolist(), n[standing].tolist()):
+        window.add(value, copies)
+    leave_at, leave_value = (ts[leaving] + window_us).tolist(), cents[leaving].tolist()
+    for value in leave_value:
+        window.add(value, 1)
+    # A chunk is at most one window long, so its own rows never leave inside it. The state after a
+    # row belongs to the row that follows, in this chunk or the entity's next one.
+    receivers = ids[own].tolist()[1:] + ids[role == HANDOVER].tolist()
+    out, gone = [], 0
+    for receiver, at, value in zip(receivers, ts[own].tolist(), cents[own].tolist()):
+        while gone < len(leave_at) and leave_at[gone] <= at:
+            window.drop(leave_value[gone])
+            gone += 1
+        window.add(value, 1)
+        out.append((receiver, _quantile(window, 0.25), _quantile(window, 0.5), _quantile(window, 0.75), window.total))
+    return out

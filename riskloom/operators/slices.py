@@ -41,6 +41,7 @@ class Slicing:
     # Entities above SMALL_ENTITY_ROWS: 'none' of them, 'some' (listed in ``large``), or not known.
     large_entities: str = "unknown"
     large: DataFrame | None = None
+    rows: int = 0
 
     def add(self, df: DataFrame, at: str = "ts_us") -> DataFrame:
         """Adds ``split``, ``slice_us`` (width) and ``slice_no`` for the time column ``at``."""
@@ -66,17 +67,19 @@ def plan_slices(
 
     ``small_rows`` also asks which entities have more rows than that altogether.
     """
-    if small_rows is None and df.count() <= max_rows:
-        return Slicing(key, width_us)
+    if small_rows is None:
+        rows = df.count()
+        if rows <= max_rows:
+            return Slicing(key, width_us, rows=rows)
     per_slice = df.groupBy(key, floor_div(F.col("ts_us"), width_us).alias("_slice")).count()
     needed = F.greatest(F.lit(0), F.ceil(F.log2(F.max("count") / F.lit(max_rows))))
     per_key = per_slice.groupBy(key).agg(
         F.sum("count").alias("_rows"), F.least(F.pow(F.lit(2), needed).cast("int"), F.lit(MAX_SPLIT)).alias("split"))
     found = per_key.agg(
-        F.count_if(F.col("split") > 1).alias("split"), F.count_if(F.col("_rows") > (small_rows or 0)).alias("large")).first()
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"), F.count_if(F.col("split") > 1).alias("split"), F.count_if(F.col("_rows") > (small_rows or 0)).alias("large")).first()
     splits = per_key.filter("split > 1").select(key, "split") if found["split"] else None
     known, large = "unknown", None
     if small_rows is not None and found["large"] <= MAX_BROADCAST_KEYS:
         known = "some" if found["large"] else "none"
         large = per_key.filter(F.col("_rows") > small_rows).select(key) if found["large"] else None
-    return Slicing(key, width_us, splits, found["split"] <= MAX_BROADCAST_KEYS, known, large)
+    return Slicing(key, width_us, splits, found["split"] <= MAX_BROADCAST_KEYS, known, large, found["rows"])
