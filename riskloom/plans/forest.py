@@ -42,18 +42,18 @@ def _draw(seed: int, *cols) -> Column:
 
 
 def _tree_samples(train: DataFrame, rows: int, trees: int, tree_rows: int, seed: int) -> DataFrame:
-    """(tree, x...) with at most ``tree_rows`` rows per tree, drawn without replacement per tree."""
-    pool = train
-    if rows > trees * tree_rows:  # one cheap pass leaves about as many rows as the forest can use
-        share = 1.2 * trees * tree_rows / rows
-        pool = train.filter(_draw(seed, F.col("transaction_id")) < share)
-        rows = int(rows * share)
-    share = min(1.0, 1.5 * tree_rows / rows)
-    per_tree = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
-                    lambda t: F.struct(_draw(seed + 1, F.col("transaction_id"), t).alias("draw"), t.alias("tree"))),
-        lambda s: s["draw"] < share)
-    return pool.select("*", F.inline(per_tree))
+    """(tree, draw, x...) with a few more than ``tree_rows`` rows per tree, none twice in a tree.
+
+    Large data is first thinned in one cheap pass to about the rows the forest can use, one tree
+    each; small data is handed to several neighbouring trees per row.
+    """
+    wanted = 1.2 * trees * tree_rows
+    who = F.col("transaction_id")
+    pool = train if rows <= wanted else train.filter(_draw(seed, who) < wanted / rows)
+    copies = min(trees, max(1, int(np.ceil(wanted / max(rows, 1)))))
+    first = F.floor(_draw(seed + 1, who) * trees)
+    tree = F.explode(F.transform(F.sequence(F.lit(0), F.lit(copies - 1)), lambda j: F.pmod(first + j, F.lit(trees)).cast("int")))
+    return pool.select("*", tree.alias("tree")).withColumn("draw", _draw(seed + 2, who, F.col("tree")))
 
 
 def _grow(tree_rows: int, seed: int, width: int):
