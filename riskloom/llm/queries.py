@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, langid
+from riskloom.llm import bpe, langid, pii, toxicity
 from riskloom.llm.common import held_out, table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -30,8 +30,29 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), "doc_id", "text", *tokenizer())
 
 
+def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """Documents with a toxicity label, except those held out."""
+    labels = table(spark, sf_dir, "labels").filter("toxic is not null").select(F.col("doc_id").alias("id"), "toxic")
+    return docs.join(labels.filter(~held_out("id")), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.report(docs, "doc_id", "text", pii.fit(docs, "text"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(labelled(spark, sf_dir, docs), "doc_id", "text", "toxic")
+    rows = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text")
+    return toxicity.score(rows, "text", model).drop("text").withColumn(
+        "predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op5_pii": op5_pii,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_toxicity": op8_toxicity,
 }
 ORACLES: dict[str, str] = {}
