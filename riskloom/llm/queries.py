@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, langid, pii, toxicity
+from riskloom.llm import ann, bpe, html_text, kdtree, langid, pii, toxicity
 from riskloom.llm.common import held_out, table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -19,6 +19,10 @@ def tokenizer() -> tuple[list[bytes], str]:
     return bpe.read_ranks(public.path(RANK_FILE)), public.PATTERN
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", every=20, k=20)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = langid.prototypes(docs.filter(~held_out("doc_id")), "text", "lang")
@@ -26,6 +30,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, "text", profiles).drop("text")
 
 
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    name = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 30))  # noqa: E731  names have no order: a hash spreads them
+    shards = kdtree.assign(docs, "doc_id", "text", {
+        "size": F.log2(F.coalesce(F.octet_length("text"), F.lit(0)) + 1), "id": F.col("doc_id"), "source": name("source"),
+        "lang": name("lang")}, shards=8)
+    return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), "doc_id", "text", *tokenizer())
 
@@ -49,10 +63,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+
+
 QUERIES = {
+    "op1_nearest": op1_nearest,
     "op2_language_id": op2_language_id,
+    "op3_shards": op3_shards,
     "op5_pii": op5_pii,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_toxicity": op8_toxicity,
+    "op10_html_text": op10_html_text,
 }
 ORACLES: dict[str, str] = {}
