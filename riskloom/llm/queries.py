@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, bpe, html_text, kdtree, langid, pii, toxicity
+from riskloom.llm import ann, bpe, html_text, kdtree, langid, neardup, pii, toxicity
 from riskloom.llm.common import held_out, table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -63,6 +63,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", words=2)
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.page_texts(table(spark, sf_dir, "pages"), "page_id", "url", "html")
 
@@ -74,6 +78,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_toxicity": op8_toxicity,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_html_text": op10_html_text,
 }
 ORACLES: dict[str, str] = {}
