@@ -67,16 +67,19 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row, also where the body's lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _running(steps: Column) -> Column:
     """Running sums of an integer array; sums of blocks keep long arrays from costing their square."""
-    n = F.size(steps)
     sums = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    last = F.greatest(n - 1, F.lit(0))
-    totals = F.transform(F.sequence(F.lit(0), F.floor(last / BLOCK).cast("int")),
+    block = lambda i: F.floor(i / BLOCK).cast("int")
+    totals = F.transform(F.sequence(F.lit(0), block(F.greatest(F.size(steps) - 1, F.lit(0)))),
                          lambda b: sums(F.slice(steps, b * BLOCK + 1, F.lit(BLOCK))))
-    return F.transform(steps, lambda _, i: (
-        sums(F.slice(totals, F.lit(1), F.floor(i / BLOCK).cast("int")))
-        + sums(F.slice(steps, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK + 1))))
+    return _let(totals, lambda t: F.transform(steps, lambda _, i: (
+        sums(F.slice(t, F.lit(1), block(i))) + sums(F.slice(steps, block(i) * BLOCK + 1, i % BLOCK + 1)))))
 
 
 def with_matches(df: DataFrame, text: str, pattern: str, guard: str, out: str) -> DataFrame:
@@ -85,17 +88,19 @@ def with_matches(df: DataFrame, text: str, pattern: str, guard: str, out: str) -
     The pieces between matches give the positions: a match starts after all pieces and matches before it.
     ``before`` and ``after`` are the neighbouring characters up to the next match, 24 and 1 at most.
     """
-    values, pieces, starts = f"__v_{out}", f"__p_{out}", f"__s_{out}"
     none = F.array().cast("array<string>")
-    df = df.withColumn(values, F.when(F.col(text).rlike(guard), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
-    df = df.withColumn(pieces, F.when(F.size(values) > 0, F.split(text, pattern, -1)).otherwise(none))
-    steps = F.transform(F.col(values), lambda _, i: F.length(F.get(F.col(pieces), i)) + F.coalesce(F.length(F.get(F.col(values), i - 1)), F.lit(0)))
-    df = df.withColumn(starts, steps).withColumn(starts, F.when(F.size(starts) > 0, _running(F.col(starts))).otherwise(F.array().cast("array<int>")))
-    hits = F.transform(F.col(values), lambda v, i: F.struct(
-        F.get(F.col(starts), i).alias("start"), (F.get(F.col(starts), i) + F.length(v)).alias("end"), v.alias("value"),
-        F.substring(F.get(F.col(pieces), i), -24, 24).alias("before"),
-        F.substring(F.coalesce(F.get(F.col(pieces), i + 1), F.lit("")), 1, 1).alias("after")))
-    return df.withColumn(out, hits).drop(values, pieces, starts)
+
+    def hits(s: Column) -> Column:
+        values, pieces = s["v"], s["p"]
+        steps = F.transform(values, lambda _, i: F.length(F.get(pieces, i)) + F.coalesce(F.length(F.get(values, i - 1)), F.lit(0)))
+        return _let(steps, lambda st: _let(_running(st), lambda starts: F.transform(values, lambda v, i: F.struct(
+            F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(v)).alias("end"), v.alias("value"),
+            F.substring(F.get(pieces, i), -24, 24).alias("before"),
+            F.substring(F.coalesce(F.get(pieces, i + 1), F.lit("")), 1, 1).alias("after")))))
+
+    values = F.when(F.col(text).rlike(guard), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
+    split = lambda v: F.struct(v.alias("v"), F.when(F.size(v) > 0, F.split(text, pattern, -1)).otherwise(none).alias("p"))
+    return df.withColumn(out, _let(values, lambda v: _let(split(v), hits)))
 
 
 def confirmed(kind: str, value: Column) -> Column:

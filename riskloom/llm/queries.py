@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, bpe, html_text, kdtree, langid, neardup, pii, toxicity
+from riskloom.llm import ann, bpe, decontaminate, html_text, kdtree, langid, neardup, pii, toxicity
 from riskloom.llm.common import held_out, table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -55,6 +55,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(docs, "doc_id", "text", pii.fit(docs, "text"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(
+        table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(labelled(spark, sf_dir, docs), "doc_id", "text", "toxic")
@@ -77,6 +82,7 @@ QUERIES = {
     "op3_shards": op3_shards,
     "op5_pii": op5_pii,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_html_text": op10_html_text,
