@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, bpe, decontaminate, html_text, kdtree, langid, neardup, pii, toxicity
+from riskloom.llm import ann, bpe, decontaminate, html_text, kdtree, langid, neardup, pii, substrings, toxicity
 from riskloom.llm.common import held_out, table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -44,10 +44,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), "doc_id", "text", *tokenizer())
 
 
-def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    """Documents with a toxicity label, except those held out."""
-    labels = table(spark, sf_dir, "labels").filter("toxic is not null").select(F.col("doc_id").alias("id"), "toxic")
-    return docs.join(labels.filter(~held_out("id")), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
+    """Fitted on labelled documents, except those held out."""
+    labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id"))
+    return toxicity.fit(docs, "doc_id", "text", labels, "doc_id", "toxic")
+
+
+def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +66,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(labelled(spark, sf_dir, docs), "doc_id", "text", "toxic")
+    model = toxicity_model(spark, sf_dir, docs)
     rows = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text")
     return toxicity.score(rows, "text", model).drop("text").withColumn(
         "predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
@@ -80,6 +84,7 @@ QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_language_id": op2_language_id,
     "op3_shards": op3_shards,
+    "op4_repeated_substrings": op4_repeated_substrings,
     "op5_pii": op5_pii,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_decontamination": op7_decontamination,

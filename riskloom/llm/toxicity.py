@@ -103,13 +103,18 @@ def minimise(rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[i
     return w, float(bias)
 
 
-def fit(df: DataFrame, id_column: str, text: str, label: str, penalty: float = 1.0, max_train: int = MAX_TRAIN,
-        max_features: int = MAX_FEATURES, swaps: dict[str, str] | None = None) -> Model:
-    """Fit on labelled rows of ``df``. What reaches the driver is bounded by max_train and max_features."""
+def fit(docs: DataFrame, id_column: str, text: str, labels: DataFrame, label_id: str, label: str, penalty: float = 1.0,
+        max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, swaps: dict[str, str] | None = None) -> Model:
+    """Fit on the labelled rows of ``docs``. What reaches the driver is bounded by max_train and max_features.
+
+    The sample of labels is drawn first, so that at most max_train ids meet the documents (by broadcast).
+    """
     swaps = IDENTITY_SWAPS if swaps is None else swaps
-    sample = (df.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
-              .filter("label is not null").withColumn("at", F.xxhash64("id"))
-              .orderBy("at", "id", "label").limit(max_train).select("text", "label"))
+    drawn = (labels.select(F.col(label_id).alias("__id"), F.col(label).cast("int").alias("label"))
+             .filter("label is not null and __id is not null").withColumn("at", F.xxhash64("__id"))
+             .orderBy("at", "__id", "label").limit(max_train).select("__id", "label"))
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+    sample = rows.join(F.broadcast(drawn), F.col("id") == F.col("__id")).select("text", "label")
 
     def count(batches):
         counts: dict[tuple[str, int], int] = {}
@@ -121,7 +126,7 @@ def fit(df: DataFrame, id_column: str, text: str, label: str, penalty: float = 1
             [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()),
              pa.array(list(counts.values()), pa.int64())], names=["feature", "label", "n"])
 
-    sample = sample.repartition(F.xxhash64("text") % 64).persist()
+    sample = sample.persist()
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
