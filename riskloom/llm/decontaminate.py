@@ -17,12 +17,14 @@ nothing; an item of fewer than five words is one shingle. Rows that repeat an it
 
 from __future__ import annotations
 
+import pickle
 import re
 from bisect import bisect_left
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
@@ -249,10 +251,10 @@ def with_items(df: DataFrame, text: str, benchmark: DataFrame, item_id: str, ite
     names = []
     for p in range(parts):
         rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == p).collect()
-        held = sc.broadcast(Index([(r["id"], r["text"]) for r in sorted(rows)], overlap))
+        held = sc.broadcast(cloudpickle.dumps(Index([(r["id"], r["text"]) for r in sorted(rows)], overlap)))
 
         def make(held=held):
-            search = Search(held.value)
+            search = Search(pickle.loads(held.value))
 
             def work(texts):
                 found = [[(i, *v) for i, v in sorted(h.items())] for h in search(texts)]
