@@ -203,7 +203,7 @@ def _features(b):
 @query("point_in_time_features_split_slices", *_FEATURES_SQL)
 def _features_split(b):
     """Every customer with more than two rows on a day counts as hot: slices shorter than a day."""
-    hot = plan_slices(b.star.txn, "customer_id", US_PER_DAY, max_rows=2)
+    hot = plan_slices(b.star.txn, "customer_id", US_PER_DAY, max_rows=2, whole=True)
     return _features_out(transaction_features(b.star, slicing=hot))
 
 
@@ -223,10 +223,10 @@ _WIDE = micro_windows(24 * 60, 3 * 24 * 60, 24 * 60)
 @query("trailing_counts_wide", S.TXN + "," + S.customer_daily() + "," + S.merchant_daily() + "," + S.features(1440, 4320, 1440), """
     SELECT transaction_id, n10 AS count_24h, n60 AS count_72h, f15 AS failed_24h FROM feat""")
 def _wide_counts(b):
-    """Windows longer than a slice, so the carries between slices do the work."""
+    """Windows longer than a slice, so the carries between slices do the work; customers with few rows stay whole."""
     from riskloom.operators.timeline import entity_timeline
     from riskloom.sources.star import located
-    sliced = plan_slices(b.star.txn, "customer_id", US_PER_DAY)
+    sliced = plan_slices(b.star.txn, "customer_id", US_PER_DAY, max_rows=5, whole=True)
     line = entity_timeline(located(b.star), sliced, _WIDE)
     return line.select("transaction_id", F.col("txn_count_last_10min").alias("count_24h"),
                        F.col("txn_count_last_60min").alias("count_72h"),
@@ -329,7 +329,7 @@ def _stats_short(b):
 @query("statistical_features_9d_3d_split_chunks", S.TXN + "," + S.stats(9, 3), _STAT_SQL)
 def _stats_split(b):
     """Customers and merchants with more than 20 rows in a window are cut into shorter chunks."""
-    slices = AnomalySlices.plan(b.star, window_days=9, max_rows=20, small_rows=None)
+    slices = AnomalySlices.plan(b.star, window_days=9, max_rows=20)
     return _stat_out(statistical_features(b.star, slices=slices, windows=frequency_windows(3, 9)))
 
 

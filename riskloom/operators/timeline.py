@@ -10,7 +10,7 @@ One exchange brings everything a slice needs into one window partition of (entit
 * one *carry* per (entity, slice): everything the earlier slices add up to, from a prefix window
   over per-slice totals.
 
-Entities known to be small as a whole skip all that: plain windows over the entity do (``_whole_entity``).
+Only entities above ``max_rows`` of the slicing are cut; every other one is a single slice and needs no carry.
 
 Counts are of rows strictly earlier in time, [t - w, t); "previous row" and first occurrences break
 equal times by ``transaction_id``.
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from riskloom.operators.slices import US_PER_DAY, Slicing, floor_div
+from riskloom.operators.slices import US_PER_DAY, US_PER_HOUR, Slicing, floor_div, floor_sql
 
 
 @dataclass(frozen=True)
@@ -85,7 +85,7 @@ def _slice_totals(txn: DataFrame, slicing: Slicing, trailing: dict[str, Trailing
     A row whose expiry falls into its own slice nets to zero there, so only crossings are expanded.
     """
     key = slicing.key
-    rows = slicing.add(txn)
+    rows = slicing.add(txn).filter("split is not null")
     stay = ["1 as n", "ts_us as first_at",
             "struct(ts_us as at, transaction_id as id, where_at) as last", "hour",
             *[f"{_crossing(n, t, 1)} as t_{n}" for n, t in trailing.items()]]
@@ -94,7 +94,7 @@ def _slice_totals(txn: DataFrame, slicing: Slicing, trailing: dict[str, Trailing
             F.coalesce(F.expr(t.where), F.lit(False)).alias(f"w_{n}") for n, t in trailing.items() if t.where is not None])
     last_type = rows.selectExpr(f"{stay[2]}").schema["last"].dataType.simpleString()
     leave = [
-        f"case when {_crossing(n, t, 1)} = 1 then struct((ts_us + {t.width_us}) div slice_us as slice_no, 0 as n, "
+        f"case when {_crossing(n, t, 1)} = 1 then struct({floor_sql(f'ts_us + {t.width_us}', 'slice_us')} as slice_no, 0 as n, "
         f"cast(null as bigint) as first_at, cast(null as {last_type}) as last, cast(null as bigint) as hour, "
         + ", ".join(f"{-1 if m == n else 0} as t_{m}" for m in trailing) + ") end"
         for n, t in trailing.items()
@@ -110,10 +110,10 @@ def _slice_totals(txn: DataFrame, slicing: Slicing, trailing: dict[str, Trailing
 def _crossing(name: str, spec: Trailing, change: int) -> str:
     """SQL: ``change`` if the row counts and leaves its window in a later slice, else 0."""
     counted = "true" if spec.where is None else f"w_{name}"
-    return f"case when {counted} and (ts_us + {spec.width_us}) div slice_us <> slice_no then {change} else 0 end"
+    return f"case when {counted} and {floor_sql(f'ts_us + {spec.width_us}', 'slice_us')} <> slice_no then {change} else 0 end"
 
 
-def _carries(totals: DataFrame, key: str, trailing: dict[str, Trailing], hours: bool, split_days: bool) -> DataFrame:
+def _carries(totals: DataFrame, key: str, trailing: dict[str, Trailing], hours: bool) -> DataFrame:
     """What every slice with transactions has to know about earlier slices."""
     earlier = f"over (partition by {key} order by slice_no rows between unbounded preceding and 1 preceding)"
     columns = [
@@ -124,13 +124,11 @@ def _carries(totals: DataFrame, key: str, trailing: dict[str, Trailing], hours:
     ]
     if hours:
         columns.append("array(" + ", ".join(f"coalesce(sum(h{h}) {earlier}, 0)" for h in range(24)) + ") as c_hours")
-    today = "0L"
-    if split_days:
-        today = earlier.replace(f"by {key}", f"by {key}, _day", 1)
-        today = f"coalesce(sum(n) {today}, 0L)"
+    today = earlier.replace(f"by {key}", f"by {key}, _day", 1)
+    today = f"coalesce(sum(n) {today}, 0L)"
     return (
-        totals.withColumn("_day", F.expr(f"slice_no * slice_us div {US_PER_DAY}"))
-        .selectExpr(key, "slice_no", "n", "slice_no * slice_us - 1 as at", *columns, f"{today} as c_today")
+        totals.withColumn("_day", F.expr(floor_sql("slice_no * slice_us", US_PER_DAY)))
+        .selectExpr(key, "slice_no", "n", "slice_no * slice_us - 1 as at", "true as carry", *columns, f"{today} as c_today")
         .filter("n > 0").drop("n")
     )
 
@@ -151,106 +149,60 @@ def entity_timeline(
         raise ValueError("timelines are cut by day")
     if "where_at" not in txn.columns:
         txn = txn.withColumn("where_at", _no_long())
-    if slicing.large_entities == "none":
-        return _whole_entity(txn, slicing.key, trailing, first_of, hours)
-    if slicing.large_entities == "some":
-        # At most MAX_BROADCAST_KEYS keys were counted.
-        large = F.broadcast(slicing.large)
-        small = txn.join(large, slicing.key, "left_anti")
-        sliced = _sliced(txn.join(large, slicing.key, "left_semi"), slicing, trailing, first_of, hours)
-        return _whole_entity(small, slicing.key, trailing, first_of, hours).unionByName(sliced)
-    return _sliced(txn, slicing, trailing, first_of, hours)
-
-
-def _whole_entity(
-    txn: DataFrame, key: str, trailing: dict[str, Trailing], first_of: dict[str, list[str]], hours: bool,
-) -> DataFrame:
-    """Plain windows, all on one exchange by entity. Only for entities counted as small."""
-    def over(*cells: str, order: str = "ts_us, transaction_id", frame: str = "") -> str:
-        return f"over (partition by {', '.join([key, *cells])} order by {order} {frame})"
-
-    strictly = "range between unbounded preceding and 1 preceding"
-    firsts = {n: f"row_number() {over(*cols)} = 1" for n, cols in first_of.items()}
-    counts = [
-        f"count({'1' if t.where is None else f'case when {t.where} then 1 end'}) "
-        f"{over(order='ts_us', frame=f'range between {t.width_us} preceding and 1 preceding')} as {n}"
-        for n, t in trailing.items()
-    ]
-    line = txn.selectExpr(
-        "*", f"row_number() {over()} - 1L as prior_count", f"lag(ts_us) {over()} as prev_us",
-        f"lag(where_at) {over()} as prev_where",
-        f"min(ts_us) {over(frame='rows between unbounded preceding and 1 preceding')} as first_us", *counts,
-        *([f"row_number() {over('hour')} - 1L as hour_count"] if hours else []),
-        *[f"{test} as first_{n}" for n, test in firsts.items()],
-    )
-    today = over("ts_us div 86400000000", order="ts_us", frame=strictly)
-    line = line.selectExpr(
-        "*", f"count(1) {today} as today_count", f"max(ts_us) {today} as today_last_us",
-        *([f"coalesce(sum(int(first_merchant_today)) {today}, 0L) as today_merchants"] if "merchant_today" in first_of else []))
-    return line.drop("first_merchant_today", "where_at")
-
-
-def _sliced(
-    txn: DataFrame, slicing: Slicing, trailing: dict[str, Trailing], first_of: dict[str, list[str]], hours: bool,
-) -> DataFrame:
-    key, split_days = slicing.key, slicing.splits is not None
-    events = slicing.add(_events(txn, key, trailing), "at").drop("split", "slice_us")
-    totals = _slice_totals(txn, slicing, trailing, hours)
-    carries = _carries(totals, key, trailing, hours, split_days)
-
-    parts = events.unionByName(carries, allowMissingColumns=True)
+    if not slicing.whole:
+        raise ValueError("timelines need a slicing that leaves entities whole where it can")
+    key, cut = slicing.key, slicing.splits is not None
+    parts = slicing.add(_events(txn, key, trailing), "at").drop("split", "slice_us")
     if first_of:
-        marks = first_occurrences(txn, key, first_of, slicing).drop("split")
-        parts = parts.unionByName(marks.drop("slice_us"), allowMissingColumns=True)
-        if split_days and "merchant_today" in first_of:
-            parts = parts.unionByName(_today_carry(totals, marks, key), allowMissingColumns=True)
-
-    # The carry sits one microsecond before its slice, so every frame that looks back includes it.
+        marks = first_occurrences(txn, key, first_of, slicing)
+        parts = parts.unionByName(marks.drop("split", "slice_us"), allowMissingColumns=True)
+    if cut:
+        totals = _slice_totals(txn, slicing, trailing, hours)
+        parts = parts.unionByName(_carries(totals, key, trailing, hours), allowMissingColumns=True)
+        if "merchant_today" in first_of:
+            parts = parts.unionByName(_today_carry(totals, marks.filter("split is not null"), key), allowMissingColumns=True)
+
+    # The carry sits one microsecond before its slice, so every frame that looks back includes it. It counts
+    # for the slice's own day.
     cell = f"partition by {key}, slice_no order by at"
     rows_before = f"over ({cell}, id rows between unbounded preceding and 1 preceding)"
-    rows_upto = f"over ({cell}, id rows between unbounded preceding and current row)"
     peers = f"over ({cell}, id range between current row and current row)"
     strictly_before = f"over ({cell} range between unbounded preceding and 1 preceding)"
+    today = f"over (partition by {key}, slice_no, _day order by at range between unbounded preceding and 1 preceding)"
+    this_hour = f"over (partition by {key}, slice_no, _hour order by at, id rows between unbounded preceding and 1 preceding)"
     flags = [n for n in first_of if n != "merchant_today"]
+    def carry(name: str, own: str) -> str:
+        return f"coalesce(c_{name}, {own})" if cut else own
 
+    real = "case when rec is not null then struct(at, id, rec.where_at as where_at) end"
     parts = parts.selectExpr(
-        "*",
-        "rec is not null as _real",
-        f"at % {US_PER_DAY} div 3600000000 as _hour",
-        "coalesce(case when rec is not null then struct(at, id, rec.where_at as where_at) end, c_last) as _here",
+        "*", "rec is not null as _real", f"pmod(at, {US_PER_DAY}) div {US_PER_HOUR} as _hour",
+        f"{floor_sql('at + int(coalesce(carry, false))' if cut else 'at', US_PER_DAY)} as _day",
+        f"coalesce({real}, c_last) as _here" if cut else f"{real} as _here",
     ).selectExpr(
         "*",
-        f"coalesce(sum(coalesce(c_n, int(_real))) {rows_before}, 0) as _n",
+        f"coalesce(sum({carry('n', 'int(_real)')}) {rows_before}, 0) as _n",
         f"last(_here, true) {rows_before} as _prev",
-        f"min(coalesce(c_first, case when _real then at end)) {rows_before} as _first",
+        f"min({carry('first', 'case when _real then at end')}) {rows_before} as _first",
         *[f"max(m_{name}) {peers} as _first_{name}" for name in flags],
-        *([f"last(c_hours, true) {rows_before} as _c_hours",
-           f"lag(case when c_n is null then _hour end) over ({cell}, id) as _lag_hour"] if hours else []),
-    )
-    if hours:
-        # Inside a day an hour is one contiguous run, so its earlier rows are those since its start.
-        parts = parts.selectExpr(
-            "*", "last(case when c_n is null and (_lag_hour is null or _lag_hour <> _hour) then _n end, true) "
-            f"{rows_upto} as _hour_n")
-    parts = parts.selectExpr(
-        "*",
-        f"coalesce(sum(coalesce(c_today, int(_real))) {strictly_before}, 0) as _today_n",
         f"max(_here.at) {strictly_before} as _last_us",
-        *[f"coalesce(sum(coalesce(d_{n}, c_{n})) {strictly_before}, 0) as _w_{n}" for n in trailing],
-        *([f"coalesce(sum(m_merchant_today) {strictly_before}, 0) as _today_merchants"]
-          if "merchant_today" in first_of else []),
-    )
+        *[f"coalesce(sum(coalesce(d_{n}, {f'c_{n}, ' if cut else ''}0)) {strictly_before}, 0) as _w_{n}" for n in trailing],
+        *([f"last(c_hours, true) {rows_before} as _c_hours"] if hours and cut else []),
+    ).selectExpr(
+        "*", f"coalesce(sum({carry('today', 'int(_real)')}) {today}, 0) as _today_n",
+        *([f"coalesce(sum(m_merchant_today) {today}, 0) as _today_merchants"] if "merchant_today" in first_of else []))
+    if hours:
+        earlier = "coalesce(_c_hours[cast(_hour as int)], 0) + " if cut else ""
+        parts = parts.selectExpr("*", f"{earlier}coalesce(sum(int(_real)) {this_hour}, 0) as _hour_n")
     out = [
         "_n as prior_count", "_prev.at as prev_us", "_prev.where_at as prev_where", "_first as first_us",
         "_today_n as today_count",
-        f"case when _last_us div {US_PER_DAY} = at div {US_PER_DAY} then _last_us end as today_last_us",
+        f"case when {floor_sql('_last_us', US_PER_DAY)} = _day then _last_us end as today_last_us",
         *[f"_w_{n} as {n}" for n in trailing],
         *[f"coalesce(_first_{name} = 1, false) as first_{name}" for name in flags],
+        *(["_hour_n as hour_count"] if hours else []),
+        *(["_today_merchants as today_merchants"] if "merchant_today" in first_of else []),
     ]
-    if hours:
-        out.append("_c_hours[cast(_hour as int)] + _n - _hour_n as hour_count")
-    if "merchant_today" in first_of:
-        out.append("_today_merchants as today_merchants")
     return parts.filter("_real").selectExpr(key, "rec.*", *out).drop("where_at")
 
 
@@ -266,6 +218,6 @@ def _today_carry(totals: DataFrame, marks: DataFrame, key: str) -> DataFrame:
     )
     same_day = W.partitionBy(key, "_day").orderBy("slice_no").rowsBetween(W.unboundedPreceding, -1)
     return cells.select(
-        key, "slice_no", (start - 1).alias("at"),
+        key, "slice_no", (start - 1).alias("at"), F.lit(True).alias("carry"),
         F.sum("m").over(same_day).cast("int").alias("m_merchant_today"),
     ).filter("m_merchant_today > 0")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskloom.functions import behavioral_anomaly, iqr_upper_outlier, poisson_frequency_z
 from riskloom.operators.quantiles import trailing_quantiles_asof
-from riskloom.operators.slices import SMALL_ENTITY_ROWS, US_PER_DAY, Slicing, plan_slices
+from riskloom.operators.slices import US_PER_DAY, Slicing, plan_slices
 from riskloom.operators.timeline import Trailing, entity_timeline
 from riskloom.sources.star import Star, located
 
@@ -31,10 +31,8 @@ class AnomalySlices:
     @staticmethod
     def plan(star: Star, window_days: int = LONG_DAYS, **kw) -> AnomalySlices:
         width = window_days * US_PER_DAY
-        days = {"small_rows": SMALL_ENTITY_ROWS, **kw}
-        kw.pop("small_rows", None)
         return AnomalySlices(
-            plan_slices(star.txn, "customer_id", US_PER_DAY, **days),
+            plan_slices(star.txn, "customer_id", US_PER_DAY, whole=True, **kw),
             plan_slices(star.txn, "customer_id", width, **kw),
             plan_slices(star.txn, "merchant_id", width, **kw),
         )

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from riskloom.functions import amount_zscore
 from riskloom.operators.asof import asof_previous_day
 from riskloom.operators.baselines import customer_daily, merchant_daily
-from riskloom.operators.slices import SMALL_ENTITY_ROWS, US_PER_DAY, US_PER_MINUTE, Slicing, plan_slices
+from riskloom.operators.slices import US_PER_DAY, US_PER_MINUTE, Slicing, plan_slices
 from riskloom.operators.timeline import Trailing, entity_timeline
 from riskloom.sources.star import Star, located
 
@@ -45,7 +45,7 @@ def micro_windows(short_min: int = VELOCITY_SHORT_MIN, long_min: int = VELOCITY_
 
 
 def customer_slices(star: Star, **kw) -> Slicing:
-    return plan_slices(star.txn, "customer_id", US_PER_DAY, **{"small_rows": SMALL_ENTITY_ROWS, **kw})
+    return plan_slices(star.txn, "customer_id", US_PER_DAY, whole=True, **kw)
 
 
 def baseline_asof_customers(txn: DataFrame, daily: DataFrame) -> DataFrame:

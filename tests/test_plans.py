@@ -26,12 +26,12 @@ def test_baseline_scan_is_pruned(small):
 
 
 def test_features_and_rules_stay_in_the_jvm_without_pair_joins(small):
-    for slicing in (None, plan_slices(small.txn, "customer_id", US_PER_DAY, max_rows=2)):
+    for slicing in (None, plan_slices(small.txn, "customer_id", US_PER_DAY, max_rows=2, whole=True)):
         plan = plan_of(apply_rules(transaction_features(small, slicing=slicing)))
         assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-def test_whole_entity_windows_share_one_exchange(small):
+def test_timeline_windows_share_one_exchange(small):
     daily = customer_daily(small.txn), merchant_daily(small.txn, small.labels)
     plan = plan_of(transaction_features(small, customers=daily[0], merchants=daily[1]))
     keyed = re.findall(r"hashpartitioning\(customer_id#\d+L, \d+\)", plan)

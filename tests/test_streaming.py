@@ -39,7 +39,7 @@ def test_counter_stream_equals_batch(spark, small, arriving, tmp_path):
              .option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start())
     query.awaitTermination()
     cols = ["transaction_id", *micro_windows()]
-    line = entity_timeline(small.txn, plan_slices(small.txn, "customer_id", US_PER_DAY), micro_windows(*hours))
+    line = entity_timeline(small.txn, plan_slices(small.txn, "customer_id", US_PER_DAY, whole=True), micro_windows(*hours))
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/o").select(cols).collect())) == sorted(
         map(tuple, line.select(cols).collect()))
 

@@ -65,12 +65,13 @@ def brute(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out).sort_values("transaction_id").reset_index(drop=True)
 
 
-@pytest.mark.parametrize("max_rows,small_rows,large", [
-    (2_000_000, None, "unknown"), (40, None, "unknown"), (3, None, "unknown"),  # all sliced
-    (2_000_000, 10_000, "none"), (40, 100, "some")])
-def test_timeline_equals_brute_force(spark, txn, max_rows, small_rows, large):
-    slicing = plan_slices(txn, "customer_id", US_PER_DAY, max_rows, small_rows)
-    assert (slicing.splits is None) == (max_rows > 1000) and slicing.large_entities == large
+@pytest.mark.parametrize("years_back", [0, 60])  # the second set lies before 1970
+@pytest.mark.parametrize("max_rows", [2_000_000, 100, 40, 3])  # nobody, only the hot one, most, all are cut
+def test_timeline_equals_brute_force(spark, txn, max_rows, years_back):
+    txn = with_time_parts(txn.drop("ts_us", "day", "hour").withColumn(
+        "transaction_ts", F.expr(f"transaction_ts - interval {years_back * 365} days")))
+    slicing = plan_slices(txn, "customer_id", US_PER_DAY, max_rows, whole=True)
+    assert (slicing.splits is None) == (max_rows > 1000)
     got = entity_timeline(txn, slicing, WINDOWS, first_of=FIRST_OF, hours=True).toPandas()
     want = brute(txn.toPandas())
     got = got.sort_values("transaction_id").reset_index(drop=True)[want.columns]
@@ -99,7 +100,7 @@ def test_trailing_quantiles_equal_brute_force(spark, txn, key, max_rows):
 def test_future_rows_do_not_change_past_features(spark, txn):
     cut = txn.agg(F.percentile_approx("ts_us", 0.6)).first()[0]
     run = lambda df: entity_timeline(
-        df, plan_slices(df, "customer_id", US_PER_DAY, 40), WINDOWS, first_of=FIRST_OF, hours=True)
+        df, plan_slices(df, "customer_id", US_PER_DAY, 40, whole=True), WINDOWS, first_of=FIRST_OF, hours=True)
     past = run(txn.filter(F.col("ts_us") < cut)).orderBy("transaction_id").toPandas()
     both = run(txn).filter(F.col("ts_us") < cut).orderBy("transaction_id").toPandas()
     pd.testing.assert_frame_equal(past, both)
