@@ -141,6 +141,35 @@ def _md_out(df):
         r4("avg_txn_amount_90d", digits=2), r4("chargeback_rate_90d"))
 
 
+LARGE = """
+ord AS (
+  SELECT o_orderkey AS transaction_id, o_custkey AS customer_id, o_orderkey % 50 AS merchant_id,
+         o_custkey * 4 + o_orderkey % 3 AS device_id, o_orderdate AS ts, CAST(o_orderdate AS DATE) AS day,
+         CAST(1234567891 + CASE WHEN o_custkey % 2 = 0 THEN 0 ELSE o_orderkey % 3 END AS BIGINT) AS cents FROM orders)"""
+
+
+@query("customer_daily_metrics_large_amounts", LARGE + "," + S.customer_daily("ord"), _CD_SQL)
+def _customer_daily_large(b):
+    """Payments of 12,345,678.91, equal for even customers and up to two cents apart for odd ones."""
+    orders = driver_view.order_series(b.spark, b.sf_dir)
+    apart = F.when(F.col("customer_id") % 2 == 0, 0).otherwise(F.col("transaction_id") % 3)
+    return _cd_out(customer_daily(orders.withColumn("amount", ((F.lit(1234567891) + apart) / 100).cast("decimal(14,2)"))))
+
+
+@query("quantiles_of_numbers_only", "", """
+    WITH v AS (SELECT CAST(o_totalprice AS DOUBLE) AS x FROM orders WHERE o_orderkey % 7 > 2)
+    SELECT CAST(0.25 AS DOUBLE) AS q, round(quantile_cont(x, 0.25), 4) AS value FROM v UNION ALL
+    SELECT 0.5, round(quantile_cont(x, 0.5), 4) FROM v UNION ALL SELECT 0.99, round(quantile_cont(x, 0.99), 4) FROM v""")
+def _quantiles_finite(b):
+    """Column with nulls, NaN and infinities, by histogram narrowing."""
+    from riskloom.operators.quantile_cut import exact_quantiles
+    price, kind = F.col("amount").cast("double"), F.col("transaction_id") % 7
+    odd = F.when(kind == 0, float("nan")).when(kind == 1, float("inf")).when(kind == 2, None).otherwise(price)
+    qs = [0.25, 0.5, 0.99]
+    values = exact_quantiles(driver_view.order_series(b.spark, b.sf_dir).select(odd.alias("x")), ["x"], qs, direct_rows=0)["x"]
+    return b.spark.createDataFrame([(q, round(v, 4)) for q, v in zip(qs, values)], "q double, value double")
+
+
 @query("merchant_daily_metrics", S.TXN + "," + S.merchant_daily(), _MD_SQL)
 def _merchant_daily(b):
     return _md_out(merchant_daily(b.star.txn, b.star.labels))
@@ -240,6 +269,20 @@ def _firings(b):
     return b.firings.select("transaction_id", "rule_id", "severity", r4("measure"))
 
 
+@query("trailing_counts_before_1970", S.TXN + "," + S.customer_daily() + "," + S.merchant_daily() + "," + S.features(1440, 4320, 1440), """
+    SELECT transaction_id, n10 AS count_24h, n60 AS count_72h, f15 AS failed_24h, hour_prior AS hour_count, prior AS prior_count FROM feat""")
+def _early_counts(b):
+    """The same times 25,000 days earlier: counts do not depend on the epoch. Customers above 40 rows are cut."""
+    from riskloom.operators.timeline import entity_timeline
+    from riskloom.sources.star import located, with_time_parts
+    early = located(b.star).drop("ts_us", "day", "hour").withColumn("transaction_ts", F.expr("transaction_ts - interval 25000 days"))
+    txn = with_time_parts(early)
+    line = entity_timeline(txn, plan_slices(txn, "customer_id", US_PER_DAY, max_rows=40, whole=True), _WIDE, hours=True)
+    return line.select("transaction_id", F.col("txn_count_last_10min").alias("count_24h"),
+                       F.col("txn_count_last_60min").alias("count_72h"), F.col("recent_failed_count_15min").alias("failed_24h"),
+                       "hour_count", "prior_count")
+
+
 @query("rule_firings_velocity_24h", S.TXN + "," + S.customer_daily() + "," + S.merchant_daily() + ","
        + S.features(1440, 4320, 1440) + "," + S.firings(6, 12), f"""
     SELECT transaction_id, rule_id, severity, {d4('measure', 'measure')} FROM fired
@@ -711,14 +754,14 @@ def _valid(b):
     SELECT c.case_id, c.status, s.transaction_id, s.risk_tier AS score_tier, {d4('s.amount', 'amount', 2)}, s.channel,
       CASE WHEN c.customer_id % 20 = 0 THEN 'WATCHLIST' WHEN c.customer_id % 20 = 1 THEN 'VIP' ELSE 'STANDARD' END AS customer_risk_segment,
       coalesce(n_rules, 0) AS n_rules, coalesce(rule_ids, '') AS rule_ids, t.last_30, coalesce(o.previous_alerts, '') AS previous_alerts,
-      2 + CAST(c.risk_tier = 'CRITICAL' AS INT) + 2 * CAST(c.status = 'CLOSED' AS INT) + CAST(c.case_id % 17 = 0 AS INT) AS n_actions,
+      2 + CAST(c.risk_tier = 'CRITICAL' AS INT) + 2 * CAST(c.status = 'CLOSED' AS INT) AS n_actions,
       c.status <> 'CLOSED' AND s.score >= 0.8 AS recommend_action
     FROM cases c JOIN alerts a ON a.alert_id = c.alert_id JOIN scored s ON s.transaction_id = a.transaction_id
     LEFT JOIN rules r ON r.transaction_id = s.transaction_id LEFT JOIN timeline t ON t.customer_id = c.customer_id
     LEFT JOIN others o ON o.case_id = c.case_id""")
 def _detail(b):
-    full = C.case_detail(b.cases, b.alerts, b.star.txn, b.star.customer, b.star.merchant, b.scored, b.firings, b.log,
-                         b.star.labels)
+    full = C.case_detail(b.cases, b.alerts, b.star.txn, b.star.customer, b.star.merchant, b.scored, b.firings,
+                         C.accepted_actions(C.replay(b.opened, b.log)), b.star.labels)
     ids = lambda col, field: F.concat_ws(",", F.transform(col, lambda x: x[field].cast("string")))
     return full.select(
         "case_id", "status", "transaction_id", F.col("risk_score.risk_tier").alias("score_tier"), r4("amount", digits=2),
@@ -938,8 +981,10 @@ def _linear_global(b):
 
 @query("tree_attribution_global")
 def _tree_global(b):
-    from riskloom.plans.attribution import global_importance, held_out_sample, tree_contributions
-    return global_importance(tree_contributions(held_out_sample(b.prepared.rows), b.boosted.model), b.prepared.preprocessor.names)
+    """Over every held-out row."""
+    from riskloom.plans.attribution import global_importance, tree_contributions
+    held_out = b.prepared.rows.filter("split = 'test'")
+    return global_importance(tree_contributions(held_out, b.boosted.model), b.prepared.preprocessor.names)
 
 
 @query("tree_attribution_rows")

@@ -17,7 +17,7 @@ from riskloom.plans import alerts as A, cases as C, evaluation as E, exposure as
 from riskloom.plans.anomaly import (
     AnomalySlices, frequency_windows, with_behavioral_score, with_frequency_z, with_iqr_scores,
 )
-from riskloom.plans.attribution import global_importance, held_out_sample, top_contributors, tree_contributions
+from riskloom.plans.attribution import global_importance, top_contributors, tree_contributions
 from riskloom.plans.features import transaction_features
 from riskloom.plans.forest import with_whole_data_score
 from riskloom.plans.matrix import feature_matrix
@@ -114,7 +114,7 @@ def run_training(spark: SparkSession, root: str, grid: list[dict] | None = None)
         evaluate_model(prepared, boosted.model, "boosted")))
     threshold = results.filter("model = 'boosted' and split = 'test'").first()["threshold"]
     test = with_probability(prepared.part("test"), boosted.model, "score")
-    explained = cut_lineage(tree_contributions(held_out_sample(prepared.rows), boosted.model))
+    explained = cut_lineage(tree_contributions(prepared.part("test"), boosted.model))
     names = prepared.preprocessor.names
     for name, df in (
         ("model_results", results), ("model_trials", boosted.trials), ("split_summary", E.split_summary(matrix)),
@@ -136,7 +136,9 @@ def run_investigation(spark: SparkSession, root: str) -> DataFrame:
         log = spark.read.parquet(log_path)
         replayed = cut_lineage(C.replay(cases, log))
         cases = C.case_state(cases, replayed)
-        sinks.append_log(C.audit_rows(replayed), f"{root}/audit_log")
+        for name, rows in (("audit_log", C.audit_rows(replayed)), ("investigation_actions", C.accepted_actions(replayed))):
+            path = f"{root}/{name}"
+            sinks.append_new(rows, spark.read.parquet(path) if _exists(spark, path) else None, path, ["case_id", "seq"])
         sinks.full_refresh(C.rejected_actions(replayed), f"{root}/rejected_actions")
     cases = cut_lineage(cases)
     sinks.full_refresh(as_stored(cases, "investigation_cases"), f"{root}/investigation_cases")

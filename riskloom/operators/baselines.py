@@ -16,6 +16,10 @@ def _cents() -> Column:
     return (F.col("amount") * 100).cast("long")
 
 
+def _exact(whole: Column) -> Column:
+    return whole.cast("decimal(19,0)")
+
+
 def _money(cents: Column) -> Column:
     """Half-up to whole cents, as stored."""
     return (F.round(cents) / 100).cast("decimal(14,2)")
@@ -56,7 +60,7 @@ def customer_daily(
     """One row per customer and active day, as of the close of that day (the day included)."""
     cents = _cents()
     facts = txn.groupBy("customer_id", _day_no().alias("day_no")).agg(
-        F.count("*").alias("n"), F.sum(cents).alias("s"), F.sum(cents.cast("double") * cents).alias("q"))
+        F.count("*").alias("n"), F.sum(cents).alias("s"), F.sum(_exact(cents) * _exact(cents)).alias("q"))
     changes = distinct_events(txn, "customer_id", ["merchant_id", "device_id"], distinct_days)
     changes = changes.groupBy("customer_id", "day_no").agg(
         F.sum(F.when(F.col("item") == "merchant_id", F.col("change"))).alias("dm"),
@@ -74,7 +78,12 @@ def customer_daily(
         F.sum("dm").over(sofar).alias("merchants"), F.sum("dd").over(sofar).alias("devices"),
     ).filter(F.col("n").isNotNull())
     mean = F.col("ws") / F.col("wn")
-    spread = F.greatest(F.col("wq") - F.col("ws").cast("double") * F.col("ws") / F.col("wn"), F.lit(0.0))
+    # Squares about the whole cent m next below the mean, in decimals: q - 2ms + nm^2 loses nothing, where a
+    # difference of large doubles would. The rest of the mean is less than a cent.
+    m = F.expr("ws div wn")
+    about = F.col("wq") - 2 * _exact(m) * _exact(F.col("ws")) + _exact(F.col("wn")) * (_exact(m) * _exact(m))
+    rest = (F.col("ws") - F.col("wn") * m).cast("double")
+    spread = F.greatest(about.cast("double") - rest * rest / F.col("wn"), F.lit(0.0))
     return days.select(
         "customer_id",
         F.date_from_unix_date("day_no").alias("metric_date"),

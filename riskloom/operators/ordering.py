@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from riskloom.operators.slices import US_PER_DAY, US_PER_SECOND, floor_div
 from riskloom.session import cut_lineage
 
+RANGE_BUCKETS = 1024
+
 
 def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """Inclusive running sums over the total order ``order`` (which must be unique per row).
@@ -43,25 +44,26 @@ def row_at(df: DataFrame, position: int, ts: str = "ts_us", tie: str = "transact
            direct_rows: int = 1_000_000) -> tuple[int, int]:
     """(ts, tie) of the row at 0-based ``position`` in (ts, tie) order.
 
-    Narrows by day, second, microsecond, then blocks of the tie column: each step is one grouped
-    count whose groups are bounded (days, 86,400 seconds, 10**6 micros, ...) and brings one row to
-    the driver. Once the remaining piece is small it is ranked directly.
+    Narrows the time and then the tie column by their own ranges: a pass counts ``RANGE_BUCKETS`` equal parts of the
+    range, and the part that holds the position is the next range. So ids may be as sparse as they like, and the
+    driver sees one count per part. Once the remaining piece is small it is ranked directly.
     """
-    levels = [
-        floor_div(F.col(ts), US_PER_DAY), floor_div(F.col(ts), US_PER_SECOND), F.col(ts),
-        floor_div(F.col(tie), 1 << 20), F.col(tie),
-    ]
     piece, offset = df.select(ts, tie), position
-    for level in levels:
-        counts = piece.groupBy(level.alias("bucket")).count()
-        upto = F.sum("count").over(W.orderBy("bucket"))
-        bucket, rows, end = (
-            counts.withColumn("upto", upto).filter(F.col("upto") > offset)
-            .orderBy("bucket").limit(1).select("bucket", "count", "upto").first()
-        )
-        offset -= end - rows
-        piece = piece.filter(level == bucket)
-        if rows <= direct_rows:
+    rows = None
+    for column in (ts, tie):
+        value = F.col(column).cast("long")
+        low, high = piece.agg(F.min(value), F.max(value)).first()
+        while low < high and (rows is None or rows > direct_rows):
+            width = -(-(high - low + 1) // RANGE_BUCKETS)
+            part = F.expr(f"cast((cast(`{column}` as decimal(20,0)) - {low}) div {width} as int)")
+            counts = sorted(piece.groupBy(part.alias("part")).count().collect())
+            for number, rows in counts:  # noqa: B007  rows is that of the part
+                if offset < rows:
+                    break
+                offset -= rows
+            low, high = low + number * width, min(high, low + (number + 1) * width - 1)
+            piece = piece.filter(value.between(low, high))
+        if rows is not None and rows <= direct_rows:
             break
     rank = F.row_number().over(W.orderBy(ts, tie))
     found = piece.withColumn("_rank", rank).filter(F.col("_rank") == offset + 1).first()

@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 DIRECT_ROWS = 1_000_000
 BUCKETS = 1024
 COLLECT_ROWS = 1_000
 
 
+def _finite(column: str) -> Column:
+    value = F.col(column).cast("double")
+    return F.when(F.abs(value) < F.lit(float("inf")), value)  # NaN is above infinity
+
+
 def exact_quantiles(
     df: DataFrame, columns: list[str], qs: list[float], direct_rows: int = DIRECT_ROWS,
 ) -> dict[str, list[float]]:
-    """Linearly interpolated quantiles of numeric columns, nulls ignored (None for an empty column).
+    """Linearly interpolated quantiles of numeric columns (None for an empty column).
+
+    Only finite numbers are ranked: nulls, NaN and infinities are ignored, on both paths.
 
     Up to ``direct_rows`` rows Spark's exact ``percentile`` answers in one aggregate. Beyond that its
     value map would grow with the data, so each wanted order statistic is narrowed by histograms: a
     pass counts at most ``BUCKETS`` buckets per order statistic, the bucket holding the rank becomes
     the next range, until it holds a single value or few rows.
     """
+    df = df.select(*[_finite(c).alias(c) for c in dict.fromkeys(columns)])
     if df.count() <= direct_rows:
-        found = df.agg(*[F.percentile(F.col(c).cast("double"), qs).alias(c) for c in columns]).first()
+        found = df.agg(*[F.percentile(F.col(c), qs).alias(c) for c in columns]).first()
         return {c: found[c] for c in columns}
     stats = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}")
                      for c in columns for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
@@ -63,7 +71,8 @@ def _narrow(df: DataFrame, ranges: dict, solved: dict) -> None:
     for i, target in enumerate(targets):
         low, high, _ = ranges[target]
         value = F.col(target[0]).cast("double")
-        bucket = F.least(F.floor((value - low) / (high - low) * BUCKETS), F.lit(BUCKETS - 1))
+        # Halves, so that the width of a range of very large numbers stays finite.
+        bucket = F.least(F.floor((value / 2 - low / 2) / (high / 2 - low / 2) * BUCKETS), F.lit(BUCKETS - 1))
         hits.append(F.when(value.between(low, high), F.struct(
             F.lit(i).alias("target"), bucket.alias("bucket"), value.alias("value"))))
     counted = (
@@ -76,6 +85,8 @@ def _narrow(df: DataFrame, ranges: dict, solved: dict) -> None:
         rank = ranges[target][2]
         for row in sorted((r for r in counted if r["target"] == i), key=lambda r: r["bucket"]):
             if rank < row["n"]:
+                if [row["lo"], row["hi"]] == ranges[target][:2] and row["n"] > COLLECT_ROWS:
+                    raise RuntimeError(f"a histogram pass over {target[0]} did not narrow {row['lo']}..{row['hi']}")
                 ranges[target] = [row["lo"], row["hi"], rank]
                 if row["n"] <= COLLECT_ROWS:
                     small[target] = row

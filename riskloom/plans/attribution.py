@@ -71,35 +71,42 @@ def tree_paths(model) -> list[list[tuple]]:
     return leaves
 
 
-def _leaf_shapley(x: np.ndarray, value: float, path: list[tuple], out: np.ndarray) -> None:
-    """Adds one leaf's Shapley values: each feature of the path either holds (1/0) or is averaged."""
+def leaf_table(value: float, path: list[tuple]) -> np.ndarray:
+    """Contributions of one leaf's features for every pattern of conditions that hold (2^depth rows).
+
+    Bit j of the row number says whether condition j holds. In the sum over feature subsets a known feature
+    holds (1/0), an unknown one is averaged (its cover share).
+    """
     m = len(path)
-    holds = [((x[:, f] > lo) & (x[:, f] <= hi)).astype(float) for f, lo, hi, _ in path]
-    for i, (feature, _, _, share) in enumerate(path):
+    holds = (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float)
+    shares = np.array([share for *_, share in path])
+    out = np.zeros((1 << m, m))
+    for i in range(m):
         others = [j for j in range(m) if j != i]
-        total = np.zeros(len(x))
         for size in range(m):
             weight = math.factorial(size) * math.factorial(m - size - 1) / math.factorial(m)
             for known in itertools.combinations(others, size):
-                term = np.full(len(x), weight)
-                for j in others:
-                    term = term * (holds[j] if j in known else path[j][3])
-                total += term
-        out[:, feature] += value * (holds[i] - share) * total
+                unknown = [j for j in others if j not in known]
+                out[:, i] += weight * holds[:, list(known)].prod(axis=1) * shares[unknown].prod()
+        out[:, i] *= value * (holds[:, i] - shares[i])
+    return out
 
 
 def tree_contributions(rows: DataFrame, model, features: str = "plain") -> DataFrame:
     """Adds ``contributions`` and ``base``; base + sum = the ensemble's margin."""
     leaves = tree_paths(model)
     base = float(sum(v * math.prod(z for *_, z in path) for v, path in leaves))
-    shared, width = rows.sparkSession.sparkContext.broadcast(leaves), model.numFeatures
+    tables = [(np.array([f for f, *_ in path]), np.array([lo for _, lo, _, _ in path]), np.array([hi for _, _, hi, _ in path]),
+               leaf_table(value, path)) for value, path in leaves if path]
+    shared, width = rows.sparkSession.sparkContext.broadcast(tables), model.numFeatures
 
     def shapley(batch: pd.Series) -> pd.Series:
         x = np.stack(batch.to_numpy()).astype(float).reshape(-1, width)
         out = np.zeros_like(x)
-        for value, path in shared.value:
-            if path:
-                _leaf_shapley(x, value, path, out)
+        for features_, low, high, table in shared.value:
+            own = x[:, features_]
+            pattern = ((own > low) & (own <= high)) @ (1 << np.arange(len(features_)))
+            out[:, features_] += table[pattern]
         return pd.Series(list(out))
 
     udf = F.pandas_udf(shapley, ArrayType(DoubleType()))
@@ -114,18 +121,14 @@ def global_importance(contributed: DataFrame, names: list[str], top_n: int = 15)
         F.col("mean_abs_contribution").desc(), "feature").limit(top_n)
 
 
-def top_contributors(contributed: DataFrame, names: list[str], top_n: int = 6) -> DataFrame:
-    """Per row the features with the largest absolute contribution, signed, and the margin."""
+def top_contributors(contributed: DataFrame, names: list[str], top_n: int = 6, features: str = "plain") -> DataFrame:
+    """Per row the features with the largest absolute contribution: signed, with the feature's value; and the margin."""
     labels = F.array(*[F.lit(n) for n in names])
     ranked = F.reverse(F.array_sort(F.transform(
-        F.arrays_zip(labels.alias("feature"), F.col("contributions").alias("c")),
-        lambda z: F.struct(F.abs(z["c"]).alias("size"), z["feature"].alias("feature"), F.round(z["c"], 4).alias("contribution")))))
+        F.arrays_zip(labels.alias("feature"), F.col("contributions").alias("c"), vector_to_array(features).alias("v")),
+        lambda z: F.struct(F.abs(z["c"]).alias("size"), z["feature"].alias("feature"), F.round(z["c"], 4).alias("contribution"),
+                           z["v"].alias("value")))))
     total = F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c)
     return contributed.select(
         "transaction_id", "split", "base", (F.col("base") + total).alias("predicted_margin"),
-        F.transform(F.slice(ranked, 1, top_n), lambda s: F.struct(s["feature"], s["contribution"])).alias("top_contributors"))
-
-
-def held_out_sample(rows: DataFrame, n: int = 2000, seed: int = 42) -> DataFrame:
-    """At most ``n`` test rows, drawn by hashed id (a sampling operator: the explained sample)."""
-    return rows.filter("split = 'test'").orderBy(F.xxhash64(F.lit(seed), "transaction_id")).limit(n)
+        F.transform(F.slice(ranked, 1, top_n), lambda s: F.struct(s["feature"], s["contribution"], s["value"])).alias("top_contributors"))

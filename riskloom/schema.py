@@ -56,7 +56,7 @@ TABLES: dict[str, T.StructType] = {
         model_name=_S, model_version=_S, period_start=_D, period_end=_D, precision_at_k=SCORE,
         recall_at_fpr=SCORE, pr_auc=SCORE, psi_score=SCORE, fraud_rate=SCORE),
     "audit_log": _struct(
-        entity_type=_S, entity_id=_S, event_type=_S, event_payload=_S, performed_by=_S, performed_at=_TS),
+        entity_type=_S, entity_id=_S, event_type=_S, event_payload=_S, performed_by=_S, performed_at=_TS, case_id=_L, seq=_L),
 }
 
 # Closed vocabularies.

@@ -17,9 +17,11 @@ def full_refresh(df: DataFrame, path: str, sort_by: list[str] | None = None) ->
 def upsert_days(df: DataFrame, path: str, day: str = "metric_date") -> None:
     """Idempotent day-grain upsert: every day present in ``df`` replaces that day's partition.
 
-    ``df`` must hold the whole content of the days it names, which daily rollups do.
+    ``df`` must hold the whole content of the days it names, which daily rollups do. Rows are rebalanced by day first,
+    so that a day has few files (a large day several), sorted by their first column.
     """
-    df.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(day).parquet(path)
+    key = next(c for c in df.columns if c != day)
+    df.hint("rebalance", F.col(day)).sortWithinPartitions(day, key).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(day).parquet(path)
 
 
 def upsert_rows(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,6 +33,11 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_new(df: DataFrame, stored: DataFrame | None, path: str, keys: list[str]) -> None:
+    """Append the rows whose key is not stored yet, so that a re-run changes nothing."""
+    append_log(df if stored is None else df.join(stored.select(*keys), keys, "left_anti").select(*df.columns), path)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """Small run report as JSON lines."""
     df.coalesce(1).write.mode("overwrite").json(path)

@@ -27,6 +27,22 @@ def test_keyed_upsert_frame(spark):
     assert sorted(map(tuple, sinks.upsert_rows(now, new, ["k"]).collect())) == [(1, "a"), (2, "B"), (3, "C")]
 
 
+def test_log_rows_are_appended_once(spark, tmp_path):
+    path, rows = f"{tmp_path}/log", spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "case_id long, seq long, note string")
+    sinks.append_new(rows, None, path, ["case_id", "seq"])
+    more = rows.unionByName(spark.createDataFrame([(2, 1, "c")], rows.schema))
+    for _ in range(2):
+        sinks.append_new(more, spark.read.parquet(path), path, ["case_id", "seq"])
+    assert sorted(r.note for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+
+
+def test_a_day_has_few_files(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("id as k", "date_add(date'2024-01-01', int(id % 10)) as metric_date", "1 as v").repartition(16)
+    sinks.upsert_days(rows, f"{tmp_path}/d")
+    files = list(tmp_path.glob("d/metric_date=*/*.parquet"))
+    assert 10 <= len(files) <= 20
+
+
 def test_jobs_on_stored_tables(spark, small, tmp_path):
     root = str(tmp_path)
     jobs.load_star(small, root, files=2)

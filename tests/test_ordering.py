@@ -70,3 +70,19 @@ def test_gap_sessions(spark, max_rows):
     pdf["start"] = pdf["transaction_id"].where(new).ffill().astype(int)
     want = dict(zip(pdf.transaction_id, pdf.start))
     assert dict(zip(got.transaction_id, got.start)) == want
+
+
+@pytest.mark.parametrize("direct_rows", [0, 1_000_000])
+def test_quantiles_rank_finite_numbers_only(spark, direct_rows):
+    values = [float(v) for v in range(3000)] + [float("nan"), float("inf"), float("-inf"), None, 1e308, -1e308] + [7.0] * 2000
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    finite = sorted(v for v in values if v is not None and abs(v) < float("inf"))
+    got = exact_quantiles(df, ["x"], [0.0, 0.5, 0.9, 1.0], direct_rows)["x"]
+    assert got == pytest.approx([float(np.quantile(finite, q)) for q in (0.0, 0.5, 0.9, 1.0)])
+
+
+def test_row_at_sparse_ids(spark):
+    ids = sorted((i * 7_919_191_919_191 + i * i) % (1 << 62) - (1 << 61) for i in range(500))
+    df = spark.createDataFrame([(0, i) for i in ids], "ts_us long, transaction_id long")
+    for position in (0, 1, 250, 499):
+        assert row_at(df, position, direct_rows=3) == (0, ids[position])
