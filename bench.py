@@ -19,11 +19,9 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
 from pyspark.sql import functions as F  # noqa: E402
 
 from riskloom import jobs  # noqa: E402
-from riskloom.operators.ordering import chronological_split  # noqa: E402
 from riskloom.plans import alerts as A, cases as C, exposure as X, reports as R, rules as U  # noqa: E402
 from riskloom.plans.anomaly import statistical_features  # noqa: E402
 from riskloom.plans.features import transaction_features  # noqa: E402
-from riskloom.plans.matrix import feature_matrix  # noqa: E402
 from riskloom.plans.models import fit_logistic, prepare, with_probability  # noqa: E402
 from riskloom.plans.scoring import risk_scores, score_transactions  # noqa: E402
 from riskloom.session import build_session, cut_lineage  # noqa: E402
@@ -60,7 +58,7 @@ def main() -> None:
 
     def risk_scoring_logistic():
         """Whole scoring job with the linear model as ML component."""
-        matrix = chronological_split(cut_lineage(feature_matrix(star, **jobs._baselines(spark, root))))
+        matrix = jobs.split_matrix(star, **jobs._baselines(spark, root))
         prepared = prepare(matrix)
         model = fit_logistic(prepared.part("train"))
         rows = with_probability(prepared.rows, model, "ml_probability")

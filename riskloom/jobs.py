@@ -26,7 +26,7 @@ from riskloom.plans.scoring import risk_scores, score_transactions, tier_fraud_c
 from riskloom.schema import TABLES
 from riskloom.session import build_session, cut_lineage, tune
 from riskloom.sources import Star, read_star, read_table, sinks
-from riskloom.sources.star import labelled
+from riskloom.sources.star import labelled, located
 
 SEGMENTS = ["channel", "customer_risk_segment", "merchant_risk_category", "fraud_typology"]
 
@@ -59,6 +59,12 @@ def _baselines(spark: SparkSession, root: str) -> dict[str, DataFrame]:
             "merchants": read_table(spark, root, "fact_merchant_daily_metrics")}
 
 
+def split_matrix(star: Star, **baselines: DataFrame) -> DataFrame:
+    """Feature matrix with its split, written once: the split's borders come from the narrow facts."""
+    keys = located(star).select("ts_us", "transaction_id")
+    return cut_lineage(chronological_split(feature_matrix(star, **baselines), keys=keys))
+
+
 def run_rules(spark: SparkSession, root: str) -> DataFrame:
     star = read_star(spark, root)
     firings = U.apply_rules(transaction_features(star, **_baselines(spark, root)))
@@ -87,7 +93,7 @@ def run_statistics(spark: SparkSession, root: str) -> DataFrame:
 def run_scoring(spark: SparkSession, root: str, grid: list[dict] | None = None) -> DataFrame:
     """Forest and boosted trees on train, components, tiers, sweep on validation, one look at test."""
     star = read_star(spark, root)
-    matrix = cut_lineage(chronological_split(cut_lineage(feature_matrix(star, **_baselines(spark, root)))))
+    matrix = split_matrix(star, **_baselines(spark, root))
     prepared = prepare(matrix)
     boosted = fit_boosted(prepared.part("train"), prepared.part("validation"), grid)
     rows = with_probability(prepared.rows, boosted.model, "ml_probability")
@@ -106,7 +112,7 @@ def run_scoring(spark: SparkSession, root: str, grid: list[dict] | None = None)
 def run_training(spark: SparkSession, root: str, grid: list[dict] | None = None) -> DataFrame:
     """Both models evaluated on validation and test, attributions, errors by segment."""
     star = read_star(spark, root)
-    matrix = cut_lineage(chronological_split(cut_lineage(feature_matrix(star, **_baselines(spark, root)))))
+    matrix = split_matrix(star, **_baselines(spark, root))
     prepared = prepare(matrix)
     logistic = fit_logistic(prepared.part("train"))
     boosted = fit_boosted(prepared.part("train"), prepared.part("validation"), grid)

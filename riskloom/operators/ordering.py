@@ -72,10 +72,14 @@ def row_at(df: DataFrame, position: int, ts: str = "ts_us", tie: str = "transact
 
 def chronological_split(
     df: DataFrame, train_frac: float = 0.70, val_frac: float = 0.15, ts: str = "ts_us",
-    tie: str = "transaction_id",
+    tie: str = "transaction_id", keys: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds ``split`` by row position in time order: train, validation, test."""
-    total = df.count()
+    """Adds ``split`` by row position in time order: train, validation, test.
+
+    ``keys``: the (ts, tie) columns of the same rows from a cheaper source, so that a wide ``df`` is not computed here.
+    """
+    rows = df if keys is None else keys
+    total = rows.count()
     train_end = int(total * train_frac)
     val_end = train_end + int(total * val_frac)
     here = F.struct(F.col(ts), F.col(tie).cast("long"))
@@ -83,7 +87,7 @@ def chronological_split(
     def before(position: int) -> Column:
         if position >= total:
             return F.lit(True)
-        cut_ts, cut_tie = row_at(df, position, ts, tie)
+        cut_ts, cut_tie = row_at(rows, position, ts, tie)
         return here < F.struct(F.lit(cut_ts).cast("long"), F.lit(cut_tie).cast("long"))
 
     return df.withColumn(

@@ -28,6 +28,9 @@ TREES, TREE_ROWS, SEED = 200, 256, 42
 
 _NODE = "tree int, node int, feature int, threshold double, left int, right int, path double"
 
+# Rows whose walks through all trees stay in cache together.
+BLOCK_ROWS = 1024
+
 
 def _expected_depth(n: float) -> float:
     """Average path length of an unsuccessful search among ``n`` rows."""
@@ -105,19 +108,23 @@ class Forest:
 
         def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             nodes = shared.value
-            feature, threshold, path = nodes["feature"], nodes["threshold"], nodes["path"]
-            children = np.stack([nodes["left"], nodes["right"]])
+            # A leaf is its own child and sends every value left, so a walk needs no test for the end.
+            leaf = nodes["feature"] < 0
+            feature = np.where(leaf, 0, nodes["feature"]).astype(np.int32)
+            threshold = np.where(leaf, np.inf, nodes["threshold"])
+            children = np.stack([nodes["left"], nodes["right"]], axis=1).astype(np.int32).ravel()
+            roots, path = nodes["roots"].astype(np.int32), nodes["path"]
             for columns in batches:
                 x = np.column_stack([c.to_numpy(float) for c in columns])
-                rows, total = np.arange(len(x)), np.zeros(len(x))
-                for root in nodes["roots"]:
-                    at = np.full(len(x), root)
+                total = np.empty(len(x))
+                for start in range(0, len(x), BLOCK_ROWS):  # all trees of a block of rows walk together
+                    part = np.ascontiguousarray(x[start:start + BLOCK_ROWS])
+                    flat, base = part.ravel(), (np.arange(len(part), dtype=np.int32) * part.shape[1])[:, None]
+                    at = np.broadcast_to(roots, (len(part), len(roots)))
                     for _ in range(int(nodes["depth"])):
-                        f = feature[at]
-                        right = (x[rows, np.maximum(f, 0)] > threshold[at]) & (f >= 0)
-                        at = children[right.astype(int), at]
-                    total += path[at]
-                yield pd.Series(np.exp2(-total / len(nodes["roots"]) / scale))
+                        at = children[2 * at + (flat[base + feature[at]] > threshold[at])]
+                    total[start:start + len(part)] = path[at].sum(axis=1)
+                yield pd.Series(np.exp2(-total / len(roots) / scale))
 
         udf = F.pandas_udf(score, DoubleType())
         return df.withColumn(into, udf(*self.matrix_columns()))
