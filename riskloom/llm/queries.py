@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, bpe, decontaminate, html_text, kdtree, langid, neardup, pii, substrings, toxicity
+from riskloom.llm import ann, bpe, decontaminate, html_text, kdtree, langid, neardup, oracles, pii, substrings, toxicity
 from riskloom.llm.common import held_out, table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -92,4 +92,4 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_html_text": op10_html_text,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_repeated_substrings": oracles.REPEATED_SUBSTRINGS, "op9_near_duplicates": oracles.NEAR_DUPLICATES}
