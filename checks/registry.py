@@ -110,6 +110,16 @@ def _customer_daily(b):
     return _cd_out(customer_daily(b.star.txn))
 
 
+@query("customer_daily_metrics_stored_twice", S.TXN + "," + S.customer_daily(), _CD_SQL)
+def _customer_daily_stored(b):
+    """Written by day twice and read back: a day is replaced, never doubled."""
+    from riskloom.sources import sinks
+    path = f"{b.run_folder('daily')}/fact_customer_daily_metrics"
+    for _ in range(2):
+        sinks.upsert_days(customer_daily(b.star.txn), path)
+    return _cd_out(b.spark.read.parquet(path))
+
+
 @query("customer_daily_metrics_9d_3d", S.TXN + "," + S.customer_daily(amount_days=9, distinct_days=3), _CD_SQL)
 def _customer_daily_short(b):
     return _cd_out(customer_daily(b.star.txn, 9, 3))
@@ -734,6 +744,23 @@ def _audit(b):
     return C.audit_rows(C.replay(b.opened, b.log)).groupBy("entity_type", "event_type").agg(F.count("*").alias("n"))
 
 
+@query("case_actions_stored_twice", S.CASES, """
+    SELECT case_id, CAST(seq AS BIGINT) AS seq, action_type FROM (
+      SELECT case_id, 1 AS seq, 'ASSIGN' AS action_type FROM cases UNION ALL SELECT case_id, 2, 'INVESTIGATE' FROM cases
+      UNION ALL SELECT case_id, 3, 'ESCALATE' FROM cases WHERE risk_tier = 'CRITICAL'
+      UNION ALL SELECT case_id, 4, CASE resolution WHEN 'CONFIRMED_FRAUD' THEN 'CONFIRM_FRAUD' ELSE 'MARK_FALSE_POSITIVE' END
+        FROM cases WHERE status = 'CLOSED'
+      UNION ALL SELECT case_id, 5, 'CLOSE' FROM cases WHERE status = 'CLOSED')""")
+def _actions_twice(b):
+    """Accepted actions written by two runs of the replay: the second adds nothing."""
+    from riskloom.sources import sinks
+    path = f"{b.run_folder('actions')}/investigation_actions"
+    for run in range(2):
+        rows = C.accepted_actions(C.replay(b.opened, b.log))
+        sinks.append_new(rows, b.spark.read.parquet(path) if run else None, path, ["case_id", "seq"])
+    return b.spark.read.parquet(path).select("case_id", "seq", "action_type")
+
+
 @query("valid_next_actions", S.CASES, """
     SELECT case_id, CASE status WHEN 'IN_REVIEW' THEN 'ESCALATE,CONFIRM_FRAUD,MARK_FALSE_POSITIVE'
       WHEN 'ESCALATED' THEN 'INVESTIGATE,CONFIRM_FRAUD,MARK_FALSE_POSITIVE' ELSE '' END AS actions FROM cases""")
@@ -832,11 +859,24 @@ def _case_list(b):
     return _case_page(P.list_cases(b.cases, b.alerts, status="CLOSED", risk_tier="HIGH", assigned_investigator="inv_3"))
 
 
+@query("case_list_total", S.CASES, """
+    SELECT count(*) AS total FROM cases WHERE status = 'CLOSED' AND risk_tier = 'HIGH' AND assigned_investigator = 'inv_3'""")
+def _case_list_total(b):
+    return P.list_cases(b.cases, b.alerts, status="CLOSED", risk_tier="HIGH", assigned_investigator="inv_3").total
+
+
 @query("case_queue", S.CASES, _CASE_SQL + " WHERE c.status = 'IN_REVIEW' ORDER BY a.combined_score DESC, c.case_id LIMIT 200")
 def _queue(b):
     return _case_page(P.case_queue(b.cases, b.alerts, status="IN_REVIEW"))
 
 
+@query("transaction_rules_lookup", S.FIRED, """
+    SELECT transaction_id, rule_id, severity FROM fired WHERE transaction_id = (SELECT max(transaction_id) FROM fired)""")
+def _transaction_rules(b):
+    newest = b.firings.agg(F.max("transaction_id")).first()[0]
+    return P.transaction_rules(b.firings, newest).select("transaction_id", "rule_id", "severity")
+
+
 @query("risk_detail_with_rules", S.SCORES, f"""
     SELECT s.transaction_id, {d4('raw_score', 'combined_score')}, risk_tier, coalesce(string_agg(rule_id || ':' || severity, ','
       ORDER BY rule_id, severity), '') AS rules FROM scored s LEFT JOIN fired f ON f.transaction_id = s.transaction_id GROUP BY s.transaction_id, raw_score, risk_tier""")
