@@ -1035,6 +1035,23 @@ def _tree_rows(b):
     return top_contributors(tree_contributions(held_out, b.boosted.model), b.prepared.preprocessor.names, 8)
 
 
+@query("risk_scores_reloaded", S.TXN, "SELECT CAST(0 AS BIGINT) AS differing, count(*) AS n_rows FROM txn")
+def _reloaded(b):
+    """Scores of the matrix by models written to a folder and read back, against those of the session's models."""
+    from riskloom.plans.model_store import FittedModels
+    from riskloom.plans.models import with_probability
+    from riskloom.plans.scoring import risk_scores, score_transactions
+    rows = with_probability(b.prepared.rows, b.boosted.model, "ml_probability")
+    own, constants = score_transactions(rows, F.col("ml_probability"), F.col("isolation_forest_score"))
+    folder = b.run_folder("models")
+    FittedModels.of(b.prepared, b.boosted.model, constants).save(b.spark, folder)
+    again = FittedModels.load(b.spark, folder).score(b.matrix.drop("split"))
+    columns = [c for c in again.columns if c != "transaction_id"]
+    both = risk_scores(own).select("transaction_id", F.struct(*columns).alias("x")).join(
+        again.select("transaction_id", F.struct(*columns).alias("y")), "transaction_id", "full")
+    return both.agg(F.count_if(~F.col("x").eqNullSafe(F.col("y"))).alias("differing"), F.count("*").alias("n_rows"))
+
+
 @query("risk_scores_with_models")
 def _model_scores(b):
     from riskloom.plans.models import with_probability

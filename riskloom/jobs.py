@@ -21,6 +21,7 @@ from riskloom.plans.attribution import global_importance, top_contributors, tree
 from riskloom.plans.features import transaction_features
 from riskloom.plans.forest import with_whole_data_score
 from riskloom.plans.matrix import feature_matrix
+from riskloom.plans.model_store import FittedModels
 from riskloom.plans.models import evaluate_model, fit_boosted, fit_logistic, prepare, with_probability
 from riskloom.plans.scoring import risk_scores, score_transactions, tier_fraud_check
 from riskloom.schema import TABLES
@@ -99,6 +100,7 @@ def run_scoring(spark: SparkSession, root: str, grid: list[dict] | None = None)
     rows = with_probability(prepared.rows, boosted.model, "ml_probability")
     scored, constants = score_transactions(rows, F.col("ml_probability"), F.col("isolation_forest_score"))
     scored = cut_lineage(scored)
+    FittedModels.of(prepared, boosted.model, constants).save(spark, f"{root}/models")
     sinks.full_refresh(as_stored(risk_scores(scored), "risk_scores"), f"{root}/risk_scores")
     sinks.write_report(tier_fraud_check(scored), f"{root}/reports/tier_fraud_rate")
     sweep = cut_lineage(X.threshold_sweep(scored.filter("split = 'validation'")))

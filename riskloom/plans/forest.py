@@ -170,18 +170,19 @@ def fit_forest(
     return fitted.with_range(fitted.raw_score(train, "_raw"))
 
 
-def _fit_and_score(df: DataFrame, train: Column | None, **kw) -> DataFrame:
+def fit_and_score(df: DataFrame, train: Column | None, **kw) -> tuple[Forest, DataFrame]:
     """Scores every row once; the range is then read from the written raw scores of the fitting rows."""
     forest = fit_forest(df if train is None else df.filter(train), measure=False, **kw)
     raw = cut_lineage(forest.raw_score(df, "_raw"))
-    return forest.with_range(raw if train is None else raw.filter(train)).normalized(raw)
+    fitted = forest.with_range(raw if train is None else raw.filter(train))
+    return fitted, fitted.normalized(raw)
 
 
 def with_whole_data_score(df: DataFrame, **kw) -> DataFrame:
     """Unsupervised variant: fitted on and applied to the same rows."""
-    return _fit_and_score(df, None, **kw)
+    return fit_and_score(df, None, **kw)[1]
 
 
-def with_train_only_score(df: DataFrame, **kw) -> DataFrame:
+def with_train_only_score(df: DataFrame, **kw) -> tuple[Forest, DataFrame]:
     """Fitted on split = 'train' only, applied to every row; later rows are clipped into its range."""
-    return _fit_and_score(df, F.col("split") == "train", **kw)
+    return fit_and_score(df, F.col("split") == "train", **kw)

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom.plans.evaluation import full_evaluation, ranking_summary, score_curve, top_k_threshold
-from riskloom.plans.forest import with_train_only_score
+from riskloom.plans.forest import Forest, with_train_only_score
 from riskloom.plans.matrix import NUMERIC
 from riskloom.plans.preprocess import Preprocessor, fit_preprocessor
 from riskloom.session import cut_lineage
@@ -85,6 +85,7 @@ class Prepared:
 
     rows: DataFrame
     preprocessor: Preprocessor
+    forest: Forest
 
     def part(self, split: str) -> DataFrame:
         return self.rows.filter(F.col("split") == split)
@@ -92,10 +93,10 @@ class Prepared:
 
 def prepare(matrix: DataFrame, **forest) -> Prepared:
     """``matrix`` with ``split``: train-only forest, then train-only encoding constants."""
-    scored = with_train_only_score(matrix, **forest)
+    fitted, scored = with_train_only_score(matrix, **forest)
     pre = fit_preprocessor(scored.filter("split = 'train'"), NUMERIC + ["isolation_forest_score"])
     rows = pre.transform(pre.transform(scored, False, "plain"), True, "scaled")
-    return Prepared(cut_lineage(rows), pre)
+    return Prepared(cut_lineage(rows), pre, fitted)
 
 
 def evaluate_model(prepared: Prepared, model, name: str) -> DataFrame:

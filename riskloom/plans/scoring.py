@@ -46,6 +46,13 @@ def fit_tier_cutpoints(scored: DataFrame) -> dict[str, float]:
     return dict(zip(TIER_QUANTILES, cuts))
 
 
+def with_tiers(scored: DataFrame, cuts: Mapping[str, float]) -> DataFrame:
+    """Tier of the unrounded score; then the stored precision."""
+    parts = ["ml_component", "rules_component", "behavioral_component", "exposure_component"]
+    out = scored.withColumn("risk_tier", risk_tier(F.col("raw_score"), cuts)).withColumn("combined_score", F.bround("raw_score", 5))
+    return out.withColumns({p: F.bround(p, 5) for p in parts})
+
+
 def score_transactions(matrix: DataFrame, ml: Column, forest: Column) -> tuple[DataFrame, ScoringConstants]:
     """``matrix`` needs a ``split`` column; ``ml`` and ``forest`` are the pluggable model scores.
 
@@ -54,10 +61,7 @@ def score_transactions(matrix: DataFrame, ml: Column, forest: Column) -> tuple[D
     cap = fit_exposure_cap(matrix)
     scored = with_components(matrix, cap, ml, forest)
     cuts = fit_tier_cutpoints(scored)
-    parts = ["ml_component", "rules_component", "behavioral_component", "exposure_component"]
-    out = scored.withColumn("risk_tier", risk_tier(F.col("raw_score"), cuts)).withColumn(
-        "combined_score", F.bround("raw_score", 5)).withColumn("ml_in_sample", F.col("split") == "train")
-    return out.withColumns({p: F.bround(p, 5) for p in parts}), ScoringConstants(cap, cuts)
+    return with_tiers(scored, cuts).withColumn("ml_in_sample", F.col("split") == "train"), ScoringConstants(cap, cuts)
 
 
 def risk_scores(scored: DataFrame) -> DataFrame:

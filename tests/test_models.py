@@ -90,3 +90,23 @@ def test_boosted_trees_select_on_validation_and_attribution_adds_up(prepared):
     margins = chosen.model.transform(explained).select(total.alias("told"), vector_to_array("rawPrediction")[1].alias("raw"))
     for r in margins.collect():
         assert r.told == pytest.approx(r.raw, abs=1e-6)
+
+
+def test_stored_models_score_and_explain(spark, matrix, prepared, tmp_path):
+    from riskloom.plans.model_store import FittedModels
+    from riskloom.plans.scoring import ScoringConstants
+
+    chosen = fit_boosted(prepared.part("train"), prepared.part("validation"), [{"maxDepth": 3, "maxIter": 3, "stepSize": 0.1}])
+    fitted = FittedModels.of(prepared, chosen.model, ScoringConstants(1.0, {"CRITICAL": 0.8, "HIGH": 0.5, "MEDIUM": 0.2}))
+    fitted.save(spark, f"{tmp_path}/m")
+    again = FittedModels.load(spark, f"{tmp_path}/m")
+    rows = matrix.withColumns({"max_rule_severity": F.lit(-1), "behavioral_anomaly_score": F.lit(0.1)}).withColumn("rules_fired_count", F.lit(0))
+    new_day = rows.drop("split")
+    assert sorted(map(tuple, again.score(new_day).collect())) == sorted(map(tuple, fitted.score(new_day).collect()))
+    told = again.explain(new_day, spark.createDataFrame([(5,), (590,), (10**6,)], "transaction_id long"), top_n=4).collect()
+    assert sorted(r.transaction_id for r in told) == [5, 590]
+    for r in told:
+        own = new_day.filter(F.col("transaction_id") == r.transaction_id).first()
+        for c in r.top_contributors:
+            if c.feature in NUMERIC and own[c.feature] is not None:
+                assert c.value == pytest.approx(float(own[c.feature]))
