@@ -23,7 +23,9 @@ from riskloom.llm.common import append_columns, blocks, ragged, spans_of
 
 NONE = np.int64(1 << 40)
 #: Distinct words a task remembers before it starts over.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
+#: Bytes of text, and ids, that a task treats at once.
+TEXT_BYTES, IDS = 2 << 20, 1 << 18
 
 
 class Ranks:
@@ -207,7 +209,7 @@ def encode(df: DataFrame, text: str, rank_lines: list[bytes], pattern: str, out:
 
         return work
 
-    return append_columns(df, text, StructType([StructField(out, ArrayType(IntegerType(), False))]), make)
+    return append_columns(df, text, StructType([StructField(out, ArrayType(IntegerType(), False))]), make, TEXT_BYTES)
 
 
 def decode(df: DataFrame, ids: str, rank_lines: list[bytes], out: str = "decoded") -> DataFrame:
@@ -221,7 +223,7 @@ def decode(df: DataFrame, ids: str, rank_lines: list[bytes], out: str = "decoded
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             sizes = np.diff(column.offsets.to_numpy()).astype(np.int64)
-            for start, stop in blocks(sizes * 4):
+            for start, stop in blocks(sizes, IDS):
                 part = column.slice(start, stop - start)
                 flat = part.flatten().to_numpy().astype(np.int64)
                 lengths = ranks.lengths[flat]

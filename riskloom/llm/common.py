@@ -51,11 +51,11 @@ def byte_sizes(column: pa.Array) -> np.ndarray:
 
 
 def append_columns(df: DataFrame, text: str, added: StructType,
-                   make: Callable[[], Callable[[list], list[pa.Array]]]) -> DataFrame:
+                   make: Callable[[], Callable[[list], list[pa.Array]]], limit: int = BLOCK_BYTES) -> DataFrame:
     """Add columns computed from a text column, in bounded blocks; rows pass through whole.
 
     ``make`` runs once per task and returns a function from the list of texts (None for null) to one Arrow array
-    per added column.
+    per added column. ``limit`` is the bytes of text of a block.
     """
     kept = [c for c in df.columns if c.lower() not in {n.lower() for n in added.names}]
     schema = StructType([*df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, *added.fields])
@@ -67,7 +67,7 @@ def append_columns(df: DataFrame, text: str, added: StructType,
         work = make()
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(source))
-            for start, stop in blocks(byte_sizes(column)):
+            for start, stop in blocks(byte_sizes(column), limit):
                 part = batch.slice(start, stop - start)
                 arrays = work(column.slice(start, stop - start).to_pylist())
                 keep = [part.column(part.schema.get_field_index(c)) for c in kept]

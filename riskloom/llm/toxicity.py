@@ -30,7 +30,7 @@ MIN_CHI = 20.0
 STARTS = (4, 5, 6, 7)
 THRESHOLD = 0.3
 #: Distinct words a task remembers before it starts over.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 
 # Identity terms and their counterparts, swapped both ways.
 IDENTITY_SWAPS = {
