@@ -23,7 +23,7 @@ from riskloom.llm.common import append_columns
 
 # Fixed values of HTML: elements without content, elements whose content is not markup, blocks, what closes what.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math".split())
+RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre search section summary table tbody "
@@ -33,7 +33,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
           "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 SCOPE = frozenset("table ul ol dl menu article section div body html blockquote td th".split())
 CLOSES_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "head", "title"}
-DROPPED = frozenset("nav aside footer form button select option label input fieldset dialog menu figcaption object audio video "
+DROPPED = frozenset("nav aside footer form button select option label input fieldset dialog menu object audio video "
                     "canvas map search head".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 CONTAINERS = frozenset("article main div section td body blockquote".split())
@@ -45,6 +45,10 @@ _NEGATIVE = re.compile(
     r"disqus|disclaimer|feedback|footer|footnav|gdpr|header|hidden|legal|masthead|menu|meta|modal|nav|navbar|navigation|newsletter|"
     r"notices?|outbrain|pager|pagination|popup|privacy|promo\w*|recommend\w*|related|replies|reply|respond|rss|share|sharing|shoutbox|"
     r"sidebar|signup|skyscraper|social|sponsor\w*|subscribe\w*|tags|taboola|teaser|toolbar|tools|warning|widgets?)(?:$|[-_\s\d])", re.I)
+_NEVER_ARTICLE = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|comments?|promo\w*|related|replies|reply|respond|sponsor\w*|teaser|widgets?)(?:$|[-_\s\d])", re.I)
+#: A class of its own that names the article outweighs others that do not (``content has-sidebar``).
+_ARTICLE_NAMES = frozenset("article content entry main post story article-body article-content entry-content main-content post-body post-content".split())
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _POSITIVE = re.compile(r"article|body|content|entry|main|page|post|story|text|blog", re.I)
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -70,7 +74,9 @@ def _judge(tag: str, attributes: str) -> tuple[bool, int]:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
-                if _NEGATIVE.search(value) and tag not in ("body", "html", "article", "main"):
+                value = _CAMEL.sub("-", value)
+                worst = _NEVER_ARTICLE if tag in ("article", "main") else _NEGATIVE
+                if tag not in ("body", "html") and worst.search(value) and not _ARTICLE_NAMES & {*value.lower().split()}:
                     return True, 0
                 if _POSITIVE.search(value):
                     weight += 25
@@ -215,13 +221,14 @@ def main_text(page: str | None) -> str:
     kept = [best]
     if best.parent is not None and best.tag != "body":
         least = max(10.0, 0.2 * _final(best))
+        named = best.tag in ("article", "main")  # what stands beside an element that says so is not the article
         kept = []
         for child in best.parent.children:
             if isinstance(child, str) or child.dropped:
                 continue
-            if child is best or child.tag in CONTAINERS and _final(child) >= least:
+            if child is best or child.tag in CONTAINERS and _final(child) >= least and (not named or child.tag == best.tag):
                 kept.append(child)
-            elif child.tag in PARAGRAPHS:
+            elif child.tag in PARAGRAPHS and not named:
                 density = child.link_chars / max(child.chars, 1)
                 if child.chars > 80 and density < 0.25 or child.tag in ("h1", "h2") and density < 0.25:
                     kept.append(child)

@@ -145,6 +145,17 @@ def test_main_text():
     assert html_text.main_text("a < b <p>c") == "a < b\nc"
 
 
+def test_main_text_of_page_furniture():
+    words = "Long enough text, with commas, to be taken for an article. " * 3
+    page = f"""<body class="page has-sidebar"><div id="siteHeader">menu</div><div class="content has-sidebar"><h1>Head</h1><p>{words}
+    <figure><img><figcaption>Caption</figcaption></figure><p>{words}<div class="userComments"><p>{words}</div></div>
+    <div class="sidebar-content"><p>{words}</div><div class="cookie-notice"><p>{words}</div></body>"""
+    whole = words.strip()
+    assert html_text.main_text(page) == "\n".join(["Head", whole, "Caption", whole])
+    page = f"<body><p>{words}</p><article><p>{words}</p><article class='comment'><p>{words}</article></article><p>{words}</p>"
+    assert html_text.main_text(page) == whole
+
+
 def test_pages_keep_every_row(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (2, None, None, "t"), (3, "v", "", "t")],
                                   "page_id long, url string, html string, text string")
