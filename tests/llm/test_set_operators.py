@@ -93,9 +93,10 @@ def brute_substrings(rows, width):
     return out
 
 
-@pytest.mark.parametrize("crowd", [1024, 2])
+@pytest.mark.parametrize("crowd", [(1024, 64), (1024, 1), (2, 64)])
 def test_repeated_substrings(spark, documents, nothing, crowd, monkeypatch):
-    monkeypatch.setattr(substrings, "CROWD", crowd)
+    monkeypatch.setattr(substrings, "CROWD", crowd[0])
+    monkeypatch.setattr(substrings, "LOCAL_CROWD", crowd[1])
     line = " shared line of boilerplate that many documents carry, word for word. "
     extra = spark.createDataFrame([(100 + i, prose(20, 50 + i) + line + prose(15, 90 + i)) for i in range(12)], "doc_id long, text string")
     df = documents.select("doc_id", "text", "score").unionByName(extra, allowMissingColumns=True)
