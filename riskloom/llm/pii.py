@@ -6,8 +6,7 @@ always kept. Spans are code point positions, end exclusive.
 
 There are no labels of personal data, so the trees learn from rules: a candidate is an example of its kind if the
 strict rule confirms it, or, for secrets, if it is assigned to a word like ``token`` and mixes letters and digits.
-They are fitted on the candidates of at most ``MAX_TRAIN`` rows that have any, those with the smallest hash of
-their text. Everything that is scored runs over all rows, whole texts; a null text counts as empty.
+They are fitted on the candidates of at most ``MAX_TRAIN`` rows with a digit, those with the smallest hash. Everything that is scored runs over all rows, whole texts; a null text counts as empty.
 
 Patterns use possessive repetition: they never go back, so long runs cost linear time and no stack.
 """
@@ -20,6 +19,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import hash_sample
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
 MAX_TRAIN = 4_000
@@ -198,8 +199,10 @@ def fit(df: DataFrame, text: str, max_train: int = MAX_TRAIN, precision: float =
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    texts = (df.select(F.col(text).alias("text")).filter(F.col("text").rlike("[0-9]"))
-             .withColumn("row_hash", F.xxhash64("text")).orderBy("row_hash").limit(max_train))
+    # All columns take part in the hash, so that many copies of a text do not share one.
+    columns = [f"`{f.name}`" for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    texts = hash_sample(df.filter(F.col(text).rlike("[0-9]")), columns, max_train).select(F.col(text).alias("text"))
+    texts = texts.withColumn("row_hash", F.xxhash64("text"))
     rows = (candidates(texts.repartition(8, "row_hash"), "text").select("row_hash", F.explode("candidates").alias("c"))
             .select("row_hash", F.col("c.name").alias("name"), F.col("c.confirmed").cast("double").alias("label"),
                     *[F.col(f"c.{f}").cast("double").alias(f) for f in FEATURES]).persist())

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from riskloom.llm.common import append_columns
+from riskloom.llm.common import append_columns, hash_sample
 
 MAX_TRAIN = 20_000
 MAX_FEATURES = 4_096
@@ -111,8 +111,8 @@ def fit(docs: DataFrame, id_column: str, text: str, labels: DataFrame, label_id:
     """
     swaps = IDENTITY_SWAPS if swaps is None else swaps
     drawn = (labels.select(F.col(label_id).alias("__id"), F.col(label).cast("int").alias("label"))
-             .filter("label is not null and __id is not null").withColumn("at", F.xxhash64("__id"))
-             .orderBy("at", "__id", "label").limit(max_train).select("__id", "label"))
+             .filter("label is not null and __id is not null"))
+    drawn = hash_sample(drawn, ["__id", "label"], max_train)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     sample = rows.join(F.broadcast(drawn), F.col("id") == F.col("__id")).select("text", "label")
 
