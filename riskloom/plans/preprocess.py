@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskloom.operators.quantile_cut import exact_quantiles
 from riskloom.plans.matrix import BOOLEAN, CATEGORICAL, NUMERIC
 
+#: A categorical column is a closed vocabulary: its values become columns and travel through the driver.
+MAX_CATEGORIES = 1_000
+
 
 @dataclass(frozen=True)
 class Preprocessor:
@@ -49,10 +52,12 @@ def fit_preprocessor(train: DataFrame, numeric: list[str] | None = None) -> Prep
     cuts = exact_quantiles(train, numeric, [0.5])
     medians = {c: (v[0] if v and v[0] is not None else 0.0) for c, v in cuts.items()}
     draft = Preprocessor(numeric, medians, {}, {}, {})
+    kinds = train.agg(*[F.approx_count_distinct(c).alias(c) for c in CATEGORICAL]).first()
+    if crowded := [c for c in CATEGORICAL if kinds[c] > MAX_CATEGORIES]:
+        raise ValueError(f"more than {MAX_CATEGORIES} values in {crowded}: not a closed vocabulary")
     stats = train.agg(
         *[F.avg(draft.imputed(c)).alias(f"m_{c}") for c in numeric + BOOLEAN],
         *[F.stddev_pop(draft.imputed(c)).alias(f"s_{c}") for c in numeric + BOOLEAN],
-        # Closed vocabularies: a handful of values each.
         *[F.array_sort(F.collect_set(c)).alias(f"c_{c}") for c in CATEGORICAL]).first()
     return Preprocessor(
         numeric, medians, {c: stats[f"m_{c}"] for c in numeric + BOOLEAN},
