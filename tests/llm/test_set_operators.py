@@ -257,6 +257,15 @@ def test_near_duplicates(spark, documents, nothing, words, leaf, block, monkeypa
     assert neardup.near_duplicates(nothing, "doc_id", "text").count() == 0
 
 
+def test_hash_sample_is_the_rows_of_smallest_hash(spark):
+    from riskloom.llm.common import hash_sample
+
+    df = spark.range(5000)
+    plain = df.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 40)), "id").limit(200)
+    assert {r[0] for r in hash_sample(df, ["id"], 200).collect()} == {r[0] for r in plain.collect()}
+    assert hash_sample(df.limit(30), ["id"], 200).count() == 30
+
+
 def test_components_of_a_chain(spark):
     n = 60
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, n)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
