@@ -7,7 +7,6 @@ that rows pass through whole; there a new column replaces an input column of the
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,8 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from riskloom.session import ensure_checkpoint_dir
-
 #: Rows per Arrow batch sent to a worker, and bytes of text a worker treats at once. One text longer than the
 #: block forms a block of its own; texts are never cut.
 BATCH_ROWS = 1000
@@ -41,14 +38,6 @@ def hash_sample(df: DataFrame, columns: list[str], n: int) -> DataFrame:
     return rows.orderBy("__hash", *columns).limit(n).drop("__hash")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet beside the checkpoints and reread: compressed, and read by column."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_out(id_column: str):
     """Row is held out: crc32 of the id as text, modulo 4, is 2. A null id counts as held out."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == 2, F.lit(True))
