@@ -52,11 +52,10 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and digests of the ids and of the bytes they decode to."""
     lines, pattern = tokenizer()
-    coded = bpe.encode(docs.select("doc_id", "text"), "text", lines, pattern).select(
-        "doc_id", "ids", F.col("ids").alias("__again"), F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"))
-    return bpe.decode(coded, "__again", lines).select(
-        "doc_id", "ids", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.encode_and_decode(docs.select("doc_id", "text"), "text", lines, pattern).select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -65,6 +65,15 @@ class Ranks:
         return np.where(self.keys[at] == key, self.merged[at], NONE)
 
 
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The bytes that each run of ids stands for."""
+        lengths = self.lengths[ids]
+        data = self.data[spans_of(self.starts[ids], lengths)]
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        cuts = ends[np.concatenate(([0], np.cumsum(counts)))].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+
+
 def replay(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all words, one word after the other, and the number of tokens of each."""
     lengths = np.array([len(w) for w in words], dtype=np.int64)
@@ -225,24 +234,36 @@ def decode(df: DataFrame, ids: str, rank_lines: list[bytes], out: str = "decoded
             sizes = np.diff(column.offsets.to_numpy()).astype(np.int64)
             for start, stop in blocks(sizes, IDS):
                 part = column.slice(start, stop - start)
-                flat = part.flatten().to_numpy().astype(np.int64)
-                lengths = ranks.lengths[flat]
-                data = ranks.data[spans_of(ranks.starts[flat], lengths)]
-                ends = np.concatenate(([0], np.cumsum(lengths)))
                 own = np.where(part.is_null().to_numpy(zero_copy_only=False), 0, sizes[start:stop])
-                cuts = ends[np.concatenate(([0], np.cumsum(own)))].astype(np.int32)
-                binary = pa.Array.from_buffers(pa.binary(), stop - start, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+                binary = ranks.decode(part.flatten().to_numpy().astype(np.int64), own)
                 rest = [batch.column(batch.schema.get_field_index(c)).slice(start, stop - start) for c in kept]
                 yield pa.RecordBatch.from_arrays([*rest, binary], names=[*kept, out])
 
     return df.mapInArrow(run, schema)
 
 
+def encode_and_decode(df: DataFrame, text: str, rank_lines: list[bytes], pattern: str, ids: str = "ids", decoded: str = "decoded"
+                      ) -> DataFrame:
+    """Rows pass through whole, with the ids of the text and the bytes these decode to, from one pass of one worker."""
+    held = df.sparkSession.sparkContext.broadcast(rank_lines)
+
+    def make():
+        encoder = Encoder(Ranks(held.value), pattern)
+
+        def work(texts):
+            flat, counts = encoder(texts)
+            return [ragged(flat.astype(np.int32), counts, pa.int32()), encoder.ranks.decode(flat, counts)]
+
+        return work
+
+    added = StructType([StructField(ids, ArrayType(IntegerType(), False)), StructField(decoded, BinaryType())])
+    return append_columns(df, text, added, make, TEXT_BYTES)
+
+
 def digests(df: DataFrame, id_column: str, text: str, rank_lines: list[bytes], pattern: str) -> DataFrame:
     """Encode, decode what was encoded, and reduce both to digests: id, n_tokens, ids_sha256, decoded_sha256."""
     rows = df.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
-    coded = encode(rows, "text", rank_lines, pattern).select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"))
-    return decode(coded, "ids", rank_lines).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode_and_decode(rows, "text", rank_lines, pattern).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))

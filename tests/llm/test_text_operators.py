@@ -57,6 +57,14 @@ def test_bpe_merges_that_open_lower_ranks():
         assert encoder([word])[0].tolist() == own.encode_ordinary(word)
 
 
+def test_bpe_decodes_given_ids(spark):
+    lines, _ = tokenizer()
+    rows = spark.createDataFrame([(1, [72, 0, 40_000]), (2, []), (3, None)], "k int, ids array<int>")
+    ranks = {v: k for k, v in bpe.Ranks(lines).ids.items()}
+    got = {r["k"]: bytes(r["decoded"]) for r in bpe.decode(rows, "ids", lines).collect()}
+    assert got == {1: ranks[72] + ranks[0] + ranks[40_000], 2: b"", 3: b""}
+
+
 def test_bpe_empty_table(nothing):
     assert bpe.digests(nothing, "doc_id", "text", *tokenizer()).count() == 0
 
