@@ -135,8 +135,7 @@ class Workbench:
 
     @cached_property
     def boosted(self):
-        from checks.registry import SHORT_GRID
-        return fit_boosted(self.prepared.part("train"), self.prepared.part("validation"), SHORT_GRID)
+        return fit_boosted(self.prepared.part("train"), self.prepared.part("validation"))
 
     # ---- streaming: the events file as a file source, results written to the shared folder
     @cached_property

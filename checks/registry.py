@@ -969,9 +969,6 @@ def _travel(b):
 
 
 # ---------------------------------------------------------------- models (no SQL form: rows only)
-# Same depths and step sizes as the default grid with a tenth of the trees, to keep the check short.
-SHORT_GRID = [{"maxDepth": 3, "maxIter": 15, "stepSize": 0.1}, {"maxDepth": 4, "maxIter": 20, "stepSize": 0.1},
-              {"maxDepth": 5, "maxIter": 30, "stepSize": 0.05}]
 
 
 @query("isolation_forest_scores")

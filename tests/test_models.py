@@ -110,3 +110,22 @@ def test_stored_models_score_and_explain(spark, matrix, prepared, tmp_path):
         for c in r.top_contributors:
             if c.feature in NUMERIC and own[c.feature] is not None:
                 assert c.value == pytest.approx(float(own[c.feature]))
+
+
+def test_registered_queries_train_the_default_grid(spark, prepared, monkeypatch):
+    """All 150, 200 and 300 trees are asked for; small ones are grown in their place to keep the test short."""
+    from checks.fixtures import Workbench
+    from riskloom.plans import models
+
+    asked = []
+
+    def small(**params):
+        asked.append({k: params[k] for k in ("maxDepth", "maxIter", "stepSize")})
+        return whole(**{**params, "maxDepth": 1, "maxIter": 1})
+
+    whole = models.GBTClassifier
+    monkeypatch.setattr(models, "GBTClassifier", small)
+    bench = object.__new__(Workbench)
+    bench.__dict__["prepared"] = prepared
+    assert [r.trees for r in bench.boosted.trials.collect()] == [150, 200, 300]
+    assert asked == models.GRID
