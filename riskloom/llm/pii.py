@@ -1,12 +1,13 @@
 """Personal data by candidate gradient boosting, in DataFrame expressions only.
 
 High-recall patterns propose spans, which may overlap; boosted trees score each from its format and its context;
-a threshold per kind, calibrated on rows kept apart, selects. Spans that a strict rule confirms (``base``) are
+a threshold per kind, calibrated on all rows that the trees were not fitted on, selects. Spans that a strict rule confirms (``base``) are
 always kept. Spans are code point positions, end exclusive.
 
 There are no labels of personal data, so the trees learn from rules: a candidate is an example of its kind if the
 strict rule confirms it, or, for secrets, if it is assigned to a word like ``token`` and mixes letters and digits.
-They are fitted on the candidates of at most ``MAX_TRAIN`` rows with a digit, those with the smallest hash. Everything that is scored runs over all rows, whole texts; a null text counts as empty.
+They are fitted on the candidates of at most ``MAX_TRAIN`` rows with a digit, those with the smallest hash. Thresholds and
+everything that is scored run over all rows, whole texts; a null text counts as empty.
 
 Patterns use possessive repetition: they never go back, so long runs cost linear time and no stack.
 """
@@ -191,8 +192,9 @@ def _tree_sql(lines: list[str], weight: float) -> str:
 
 
 def fit(df: DataFrame, text: str, max_train: int = MAX_TRAIN, precision: float = PRECISION) -> Model:
-    """Fit trees on four fifths of the sampled texts and set thresholds on the rest.
+    """Fit trees on four fifths of the sampled texts and set thresholds on all other rows of ``df``.
 
+    Copies of a fitted text count as fitted. A kind that occurs in fitted texts only takes its threshold from them.
     The driver receives trees and one count per kind and hundredth of score. Without examples of both sorts the
     model is empty.
     """
@@ -216,15 +218,20 @@ def fit(df: DataFrame, text: str, max_train: int = MAX_TRAIN, precision: float =
         trees = [_tree_sql([x for x in t.toDebugString.splitlines()[1:] if x.strip()], w)
                  for t, w in zip(fitted.trees, fitted.treeWeights)]
         model = Model(trees)
-        bins = (rows.filter(held).withColumn("bin", F.floor(F.expr(f"100 / (1 + exp(-2 * ({model.margin('')})))")))
-                .groupBy("name", "bin").agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n")).collect())
+        fitted_on = F.broadcast(rows.filter(~held).select("row_hash").distinct().withColumn("fitted", F.lit(True)))
+        whole = df.select(F.col(text).alias("text")).withColumn("row_hash", F.xxhash64("text")).join(fitted_on, "row_hash", "left")
+        bins = (candidates(whole, "text").select(F.col("fitted").isNotNull().alias("fitted"), F.explode("candidates").alias("c"))
+                .withColumn("bin", F.floor(F.expr(f"100 / (1 + exp(-2 * ({model.margin('c.')})))")))
+                .groupBy(F.col("c.name").alias("name"), "bin", "fitted")
+                .agg(F.sum(F.col("c.confirmed").cast("long")).alias("hits"), F.count(F.lit(1)).alias("n")).collect())
         for kind in KINDS:
-            own = sorted(((r["bin"], r["hits"], r["n"]) for r in bins if r["name"] == kind), reverse=True)
+            of_kind = [r for r in bins if r["name"] == kind]
+            apart = [r for r in of_kind if not r["fitted"]] or of_kind
             hits = n = 0
-            for cut, h, m in own:
-                hits, n = hits + h, n + m
+            for r in sorted(apart, key=lambda r: -r["bin"]):
+                hits, n = hits + r["hits"], n + r["n"]
                 if hits >= precision * n:
-                    model.thresholds[kind] = cut / 100
+                    model.thresholds[kind] = r["bin"] / 100
         return model
     finally:
         rows.unpersist()

@@ -11,6 +11,7 @@ from awkward import SMALL, documents, nothing, prose  # noqa: F401
 from pyspark.sql import functions as F
 
 from riskloom.llm import ann, decontaminate, graph, kdtree, neardup, pii, substrings
+from riskloom.llm.common import hash_sample
 from riskloom.llm.induced import repeats, suffix_array
 from riskloom.llm.queries import QUERIES
 
@@ -160,6 +161,21 @@ def test_base_spans_equal_plain_patterns(spark, documents, nothing):
     assert pii.fit(nothing, "text") == pii.Model() and pii.report(nothing, "doc_id", "text", model).count() == 0
 
 
+def test_rare_kind_outside_the_fitting_sample_gets_a_threshold(spark):
+    """Only a few of the texts are fitted on; the two secrets are in none of them, and still come out."""
+    rng = random.Random(3)
+    rows = [(i, f"card {rng.randint(10**15, 10**16 - 1)} from {rng.randint(1, 400)}.{rng.randint(1, 400)}.3.4, call +44 20 7946 0{i:03d}") for i in range(400)]
+    key = "token = 24be64439e3e49cf46b2d7c9"
+    keyed = spark.createDataFrame([(i, f"{t} {key}") for i, t in rows], "doc_id long, text string")
+    last = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).desc()
+    planted = {r["doc_id"]: r["text"] for r in keyed.orderBy(last).limit(2).collect()}
+    with_keys = spark.createDataFrame([(i, planted.get(i, t)) for i, t in rows], "doc_id long, text string")
+    assert not {*planted} & {r["doc_id"] for r in hash_sample(with_keys, ["`doc_id`", "`text`"], 60).collect()}
+    model = pii.fit(with_keys, "text", max_train=60)
+    found = {r["doc_id"] for r in pii.report(with_keys, "doc_id", "text", model).collect() if "secret:" in r["spans"]}
+    assert "secret" in model.thresholds and found == {*planted}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "🙂 a@b.c, 1.2.3.4 x@y.z_k@w.v"), (2, None), (3, "nothing")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in pii.redact(pii.spans(df, "text", pii.Model()), "text", "spans").collect()}
