@@ -5,8 +5,11 @@ a threshold per kind, calibrated on all rows that the trees were not fitted on,
 always kept. Spans are code point positions, end exclusive.
 
 There are no labels of personal data, so the trees learn from rules: a candidate is an example of its kind if the
-strict rule confirms it, or, for secrets, if it is assigned to a word like ``token`` and mixes letters and digits.
-They are fitted on the candidates of at most ``MAX_TRAIN`` rows with a digit, those with the smallest hash. Thresholds and
+strict rule confirms it; a wide proposal of e-mail if it ends in a known top-level name, of phone if words like ``call`` or
+``write`` stand before it, of secrets if it is assigned to a word like ``token`` and mixes letters and digits. The trees
+do not see which pattern proposed a candidate. Each group of pattern and label weighs the same, however rare it is, and
+thresholds come from the candidates they decide on, that is, those which no strict rule confirms.
+They are fitted on the candidates of at most ``MAX_TRAIN`` rows with a digit or ``(at)``, those with the smallest hash. Thresholds and
 everything that is scored run over all rows, whole texts; a null text counts as empty.
 
 Patterns use possessive repetition: they never go back, so long runs cost linear time and no stack.
@@ -48,11 +51,25 @@ GUARDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "p
 WIDE_GUARDS = {"email": "(?:[(\\[]) ?at ?(?:[)\\]])", "phone": "[0-9][ .-][0-9]{3}", "secret": "(?i)token|secret|passw|pwd|key"}
 
 FEATURES = ("kind", "length", "digits", "letters", "separators", "luhn", "octets", "at", "plus", "word_before",
-            "word_after", "says_phone", "says_card", "says_host", "says_mail", "says_secret", "wide")
-
+            "word_after", "says_phone", "says_card", "says_host", "says_mail", "says_secret", "top_name", "plus_before")
+
+# Top-level names: the common general ones and those of countries.
+TOP_NAMES = (
+    "com|org|net|edu|gov|mil|int|info|biz|name|pro|mobi|asia|coop|museum|aero|jobs|tel|cat|arpa|app|dev|io|ai|xyz|online|site|shop|tech|blog|cloud|"
+    "ac|ad|ae|af|ag|al|am|ao|ar|as|at|au|aw|ax|az|ba|bb|bd|be|bf|bg|bh|bi|bj|bm|bn|bo|br|bs|bt|bw|by|bz|ca|cc|cd|cf|cg|ch|ci|ck|cl|cm|cn|co|"
+    "cr|cu|cv|cw|cx|cy|cz|de|dj|dk|dm|do|dz|ec|ee|eg|er|es|et|eu|fi|fj|fk|fm|fo|fr|ga|gd|ge|gf|gg|gh|gi|gl|gm|gn|gp|gq|gr|gs|gt|gu|gw|gy|hk|"
+    "hm|hn|hr|ht|hu|id|ie|il|im|in|iq|ir|is|it|je|jm|jo|jp|ke|kg|kh|ki|km|kn|kp|kr|kw|ky|kz|la|lb|lc|li|lk|lr|ls|lt|lu|lv|ly|ma|mc|md|me|mg|"
+    "mh|mk|ml|mm|mn|mo|mp|mq|mr|ms|mt|mu|mv|mw|mx|my|mz|na|nc|ne|nf|ng|ni|nl|no|np|nr|nu|nz|om|pa|pe|pf|pg|ph|pk|pl|pm|pn|pr|ps|pt|pw|py|qa|"
+    "re|ro|rs|ru|rw|sa|sb|sc|sd|se|sg|sh|si|sk|sl|sm|sn|so|sr|ss|st|su|sv|sx|sy|sz|tc|td|tf|tg|th|tj|tk|tl|tm|tn|to|tr|tt|tv|tw|tz|ua|ug|uk|"
+    "us|uy|uz|va|vc|ve|vg|vi|vn|vu|wf|ws|ye|yt|za|zm|zw")
 
 OCTETS = "^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])){3}$"
 
+_SAYS_PHONE, _SAYS_MAIL = "phone|call|mobile|tel|fax", "mail|contact|write"
+_TOP_NAME = f"(?i)(?:\\.|[(\\[] ?dot ?[)\\]]) ?(?:{TOP_NAMES})$"
+#: Ends inside a number with a plus: a local number found there is a part of that number.
+_PLUS_BEFORE = "\\+[0-9][\\x20().0-9-]*$"
+
 
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
@@ -125,8 +142,10 @@ def _candidate(kind: str, wide: bool):
         if wide and kind == "secret":
             key = value.rlike("[A-Za-z0-9_+/-]{16,}") & value.rlike("[=:].*[0-9]") & value.rlike("[=:].*[A-Za-z]")
             truth = key
+        elif wide and kind == "email":
+            truth = value.rlike(_TOP_NAME)
         elif wide:
-            truth = F.lit(False)
+            truth = x["before"].rlike(f"(?i)(?:{_SAYS_PHONE}|{_SAYS_MAIL})") & ~value.rlike(OCTETS) & ~x["before"].rlike(_PLUS_BEFORE)
         else:
             truth = confirmed(kind, value)
         return F.struct(
@@ -140,9 +159,10 @@ def _candidate(kind: str, wide: bool):
             value.startswith("+").cast("int").alias("plus"),
             x["before"].rlike("[A-Za-z0-9]$").cast("int").alias("word_before"),
             x["after"].rlike("^[A-Za-z0-9]").cast("int").alias("word_after"),
-            says("phone|call|mobile|tel|fax").alias("says_phone"), says("card|visa|credit|pay").alias("says_card"),
-            says("host|server|addr|\\bip\\b").alias("says_host"), says("mail|contact|write").alias("says_mail"),
-            says("token|secret|key|passw").alias("says_secret"), F.lit(int(wide)).alias("wide"))
+            says(_SAYS_PHONE).alias("says_phone"), says("card|visa|credit|pay").alias("says_card"),
+            says("host|server|addr|\\bip\\b").alias("says_host"), says(_SAYS_MAIL).alias("says_mail"),
+            says("token|secret|key|passw").alias("says_secret"), value.rlike(_TOP_NAME).cast("int").alias("top_name"),
+            x["before"].rlike(_PLUS_BEFORE).cast("int").alias("plus_before"), F.lit(int(wide)).alias("wide"))
 
     return make
 
@@ -203,25 +223,26 @@ def fit(df: DataFrame, text: str, max_train: int = MAX_TRAIN, precision: float =
 
     # All columns take part in the hash, so that many copies of a text do not share one.
     columns = [f"`{f.name}`" for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    texts = hash_sample(df.filter(F.col(text).rlike("[0-9]")), columns, max_train).select(F.col(text).alias("text"))
+    texts = hash_sample(df.filter(F.col(text).rlike("[0-9]|" + WIDE_GUARDS["email"])), columns, max_train).select(F.col(text).alias("text"))
     texts = texts.withColumn("row_hash", F.xxhash64("text"))
     rows = (candidates(texts.repartition(8, "row_hash"), "text").select("row_hash", F.explode("candidates").alias("c"))
-            .select("row_hash", F.col("c.name").alias("name"), F.col("c.confirmed").cast("double").alias("label"),
+            .select("row_hash", F.col("c.name").alias("name"), F.col("c.confirmed").cast("double").alias("label"), F.col("c.wide").alias("wide"),
                     *[F.col(f"c.{f}").cast("double").alias(f) for f in FEATURES]).persist())
     try:
         held = F.pmod(F.col("row_hash"), F.lit(5)) == 0
-        labels = {r[0] for r in rows.filter(~held).select("label").distinct().collect()}
-        if labels != {0.0, 1.0}:
+        groups = rows.filter(~held).groupBy("name", "wide", "label").count().collect()
+        if {g["label"] for g in groups} != {0.0, 1.0}:
             return Model()
-        assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows.filter(~held))
-        fitted = GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=64).fit(assembled)
+        weight = "CASE " + " ".join(f"WHEN name = '{g['name']}' AND wide = {g['wide']} AND label = {g['label']}D THEN {1000 / g['count']!r}D" for g in groups) + " END"
+        assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows.filter(~held).withColumn("weight", F.expr(weight)))
+        fitted = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=64).fit(assembled)
         trees = [_tree_sql([x for x in t.toDebugString.splitlines()[1:] if x.strip()], w)
                  for t, w in zip(fitted.trees, fitted.treeWeights)]
         model = Model(trees)
         fitted_on = F.broadcast(rows.filter(~held).select("row_hash").distinct().withColumn("fitted", F.lit(True)))
         whole = df.select(F.col(text).alias("text")).withColumn("row_hash", F.xxhash64("text")).join(fitted_on, "row_hash", "left")
         bins = (candidates(whole, "text").select(F.col("fitted").isNotNull().alias("fitted"), F.explode("candidates").alias("c"))
-                .withColumn("bin", F.floor(F.expr(f"100 / (1 + exp(-2 * ({model.margin('c.')})))")))
+                .filter("NOT (c.confirmed AND c.wide = 0)").withColumn("bin", F.floor(F.expr(f"100 / (1 + exp(-2 * ({model.margin('c.')})))")))
                 .groupBy(F.col("c.name").alias("name"), "bin", "fitted")
                 .agg(F.sum(F.col("c.confirmed").cast("long")).alias("hits"), F.count(F.lit(1)).alias("n")).collect())
         for kind in KINDS:

@@ -176,6 +176,33 @@ def test_rare_kind_outside_the_fitting_sample_gets_a_threshold(spark):
     assert "secret" in model.thresholds and found == {*planted}
 
 
+def test_wide_emails_and_local_phones_are_selected(spark):
+    rng = random.Random(4)
+    names = ["ann", "bob.k", "eve_2", "kim"]
+    local = lambda: f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    rows = []
+    for i in range(600):
+        who = names[i // 6 % 4]
+        rows.append((i, [f"please reach {who} (at) host{i}{' (dot) ' if i % 12 else '.'}{['org', 'com', 'de'][i // 6 % 3]} soon",
+                         f"meet {who} (at) noon{i}. Then bring it",
+                         f"you may call {local()} today", f"parts {local()} remain in stock",
+                         f"mail a{i}@b.org or +44 20 7946 0{i:03d}, host {i % 400}.1.2.3, card {rng.randint(10**15, 10**16 - 1)}",
+                         f"from {rng.randint(10, 99)}.{rng.randint(256, 999)}.{rng.randint(256, 999)}.{rng.randint(10, 99)} and +1 ({rng.randint(200, 999)}) 555-{i + 1000}"][i % 6]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(df, "text")
+    got = {r["doc_id"]: r["spans"] for r in pii.report(df, "doc_id", "text", model).collect()}
+    for i, text in rows:
+        wanted = base_spans(text)
+        if i % 6 == 0:
+            wanted.append(f"email:{text.index(names[i // 6 % 4])}:{text.index(' soon')}")
+        elif i % 6 == 2:
+            wanted.append(f"phone:{text.index('(')}:{text.index(' today')}")
+        assert got[i] == ",".join(wanted), text
+    out = {r["doc_id"]: r["text"] for r in pii.redact(pii.spans(df.filter("doc_id < 4"), "text", model), "text", "spans").collect()}
+    assert out == {0: "please reach [EMAIL] soon", 1: rows[1][1], 2: "you may call [PHONE] today", 3: rows[3][1]}
+    assert "wide" not in pii.FEATURES
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "🙂 a@b.c, 1.2.3.4 x@y.z_k@w.v"), (2, None), (3, "nothing")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in pii.redact(pii.spans(df, "text", pii.Model()), "text", "spans").collect()}
