@@ -2,8 +2,10 @@
 
 The page becomes a tree of elements. Every paragraph passes points for its length and its commas to its parent (in
 full) and grandparent (half); a container's points are discounted by the share of its text that stands in links.
-The best container is kept, and siblings that score like it. Inside what is kept, blocks that are not article text
-(menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) are left out.
+If the best container lies in an article element (or else in main), all of that is kept, and its siblings of the same kind
+that score like it. Otherwise all that stands beside the container, and beside ancestors that hold half of its points, is
+kept unless a quarter of its text is links. Inside what is kept, blocks that are not article text (menus, headers,
+footers, sidebars, notices, adverts, forms, comments, scripts, styles) are left out.
 
 Null or empty pages give the empty text. Unclosed and misnested tags, a tag cut off at the end, unknown entities and
 bare ``<`` are taken as browsers take them, roughly: they never fail. Text before any block forms a block of its own.
@@ -209,6 +211,54 @@ def _blocks(kept: list[Node]) -> list[str]:
     return out
 
 
+def _named(best: Node) -> list[Node]:
+    """The outermost article around the best container, or else main, and siblings of its kind that score like it."""
+    path, node = [], best
+    while node is not None:
+        path.append(node)
+        node = node.parent
+    whole = next((n for tag in ("article", "main") for n in reversed(path) if n.tag == tag), None)
+    if whole is None:
+        return []
+    least = max(10.0, 0.2 * _final(whole))
+    return [n for n in whole.parent.children
+            if n is whole or isinstance(n, Node) and not n.dropped and n.tag == whole.tag and _final(n) >= least]
+
+
+def _around(best: Node) -> list[Node | str]:
+    """The best container with all beside it that is not mainly links, in page order."""
+    kept: list[Node | str] = [best]
+    node = best
+    while node.tag != "body" and node.parent is not None:
+        parent, sides, run = node.parent, ([], []), []
+
+        def end(side: list) -> None:
+            chars = sum(len(_SPACE.sub(" ", n).strip()) if isinstance(n, str) else n.chars for n in run)
+            if sum(n.link_chars for n in run if isinstance(n, Node)) < 0.25 * chars:
+                side.extend(run)
+            run.clear()
+
+        side = sides[0]
+        for child in parent.children:
+            if isinstance(child, Node) and child.dropped:
+                continue
+            if isinstance(child, str) or child.tag not in BLOCKS or child.tag == "br":
+                run.append(child)  # words of one line are judged together
+                continue
+            end(side)
+            if child is node:
+                side = sides[1]
+            else:
+                run.append(child)
+                end(side)
+        end(side)
+        kept = [*sides[0], *kept, *sides[1]]
+        if parent.points < best.points / 2:
+            break
+        node = parent
+    return kept
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the article in page order, one to a line."""
     if not page:
@@ -218,21 +268,7 @@ def main_text(page: str | None) -> str:
     best = max(containers, key=_final, default=None)
     if best is None or _final(best) <= 0:
         return "\n".join(_blocks([root]))
-    kept = [best]
-    if best.parent is not None and best.tag != "body":
-        least = max(10.0, 0.2 * _final(best))
-        named = best.tag in ("article", "main")  # what stands beside an element that says so is not the article
-        kept = []
-        for child in best.parent.children:
-            if isinstance(child, str) or child.dropped:
-                continue
-            if child is best or child.tag in CONTAINERS and _final(child) >= least and (not named or child.tag == best.tag):
-                kept.append(child)
-            elif child.tag in PARAGRAPHS and not named:
-                density = child.link_chars / max(child.chars, 1)
-                if child.chars > 80 and density < 0.25 or child.tag in ("h1", "h2") and density < 0.25:
-                    kept.append(child)
-    return "\n".join(_blocks(kept))
+    return "\n".join(_blocks(_named(best) or _around(best)))
 
 
 def extract(df: DataFrame, page: str, out: str = "text") -> DataFrame:

@@ -164,6 +164,20 @@ def test_main_text_of_page_furniture():
     assert html_text.main_text(page) == whole
 
 
+def test_main_text_of_unequal_parts():
+    """All of an article comes out, however little one of its parts holds beside the longest."""
+    long = "\n".join(f"Paragraph {i} is long enough, with commas, to be taken for text of the article. " * 4 for i in range(40))
+    paragraphs = "".join(f"<p>{p}</p>" for p in long.split("\n"))
+    rest = ("<h3>Part</h3><p>Short.</p><ul><li>one<li>two</ul><table><tr><td>cell</table><figure><figcaption>Figure</figcaption></figure>"
+            "bare <b>text</b> with <a href='x'>it</a>")
+    told = "Part\nShort.\none\ntwo\ncell\nFigure\nbare text with it"
+    lines = "\n".join(p.strip() for p in long.split("\n"))
+    for a, b in (("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>"), ("", "")):
+        for part in ("section", "div"):
+            page = f"<body><nav>menu</nav>{a}<{part}>{paragraphs}</{part}><div class='ad'>Buy</div><{part}>{rest}</{part}>{rest}{b}<div><a href='/'>Home page</a></div><footer>end</footer></body>"
+            assert html_text.main_text(page) == "\n".join([lines, told, told]), (a, part)
+
+
 def test_pages_keep_every_row(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (2, None, None, "t"), (3, "v", "", "t")],
                                   "page_id long, url string, html string, text string")
