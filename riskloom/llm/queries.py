@@ -7,8 +7,10 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, bpe, decontaminate, html_text, kdtree, langid, neardup, oracles, pii, substrings, toxicity
+from riskloom.llm import (ann, bpe, decontaminate, html_text, kdtree, langid, licenses, neardup, negatives, oracles, pii, substrings, toxicity,
+                          trie)
 from riskloom.llm.common import held_out, table
+from riskloom.session import cut_lineage
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -80,6 +82,22 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.page_texts(table(spark, sf_dir, "pages"), "page_id", "url", "html")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.select("vec_id", label.alias("label"), "embedding"), "vec_id", "label", "embedding", every=100)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut_lineage(trie.turns(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text"))
+    length = F.crc32(F.col("conv").cast("string").cast("binary")) % 4
+    return trie.prefix_trie(*trie.with_prefix_of(rows, F.col("conv") - F.col("conv") % 20, length))
+
+
+def op13_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_language_id": op2_language_id,
@@ -91,5 +109,10 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_html_text": op10_html_text,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_license_notices": op13_license_notices,
 }
-ORACLES = {"op4_repeated_substrings": oracles.REPEATED_SUBSTRINGS, "op9_near_duplicates": oracles.NEAR_DUPLICATES}
+ORACLES = {"op4_repeated_substrings": oracles.REPEATED_SUBSTRINGS, "op9_near_duplicates": oracles.NEAR_DUPLICATES,
+           "op11_hard_negatives": oracles.HARD_NEGATIVES, "op12_prefix_trie": oracles.PREFIX_TRIE,
+           "op13_license_notices": oracles.license_notices(licenses.TEMPLATES, licenses.PHRASES, licenses.CONTAINMENT, licenses.STEP)}
