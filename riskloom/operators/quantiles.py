@@ -5,13 +5,12 @@ entity's previous row. The entity's time is cut into chunks of W/k (k = 1 unless
 The chunk ``c`` of a window needs the rows of chunk ``c`` itself, the rows of chunk ``c - k`` (they
 leave the window while ``c`` runs) and, for k > 1, the *value counts* of the chunks between. So a
 row is copied twice however long the window is, and the counts are pre-aggregated by value; no task
-sees more than two chunks of rows plus one histogram. Amounts are whole cents.
+sees more than two chunks of rows plus one histogram. Amounts are whole cents. Inside a chunk all windows
+are pieces of one sequence, and a static structure answers them by array operations.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -76,108 +75,115 @@ def _standing_counts(rows: DataFrame, key: str) -> DataFrame:
     return spans.filter("n > 0").select(key, "cents", "n", F.explode(F.sequence("chunk", "_last")).alias("chunk"))
 
 
-class _SortedValues:
-    """Multiset as a plain sorted list: fastest while a window holds few values."""
-
-    def __init__(self):
-        self.values, self.total = [], 0
-
-    def add(self, value: int, n: int) -> None:
-        self.total += n
-        insort(self.values, value)
-
-    def drop(self, value: int) -> None:
-        self.total -= 1
-        self.values.pop(bisect_left(self.values, value))
-
-    def at_rank(self, rank: int) -> int:
-        return self.values[rank]
-
-
-class _ValueCounts:
-    """Multiset as counts over a fixed sorted domain (a Fenwick tree): any number of copies."""
-
-    def __init__(self, domain: np.ndarray):
-        self.domain = domain.tolist()
-        self.index = {value: i + 1 for i, value in enumerate(self.domain)}
-        self.tree, self.total = [0] * (len(self.domain) + 1), 0
-        self.top = 1 << (len(self.domain).bit_length() - 1)
-
-    def add(self, value: int, n: int) -> None:
-        self.total += n
-        i = self.index[value]
-        while i < len(self.tree):
-            self.tree[i] += n
-            i += i & -i
-
-    def drop(self, value: int) -> None:
-        self.add(value, -1)
-
-    def at_rank(self, rank: int) -> int:
-        position, step = 0, self.top
-        while step:
-            if position + step < len(self.tree) and self.tree[position + step] <= rank:
-                position += step
-                rank -= self.tree[position]
-            step >>= 1
-        return self.domain[position]
-
-
-# Above this many rows per chunk, list inserts cost more than tree updates.
-_LIST_ROWS = 20_000
+class RangeRanks:
+    """Order statistics of any contiguous piece of a sequence: a wavelet matrix over rank-compressed values.
 
+    One level per bit of the compressed value holds how many elements before each place have a 0 there; elements are then
+    stably dealt by that bit for the next level. A query narrows its piece level by level, and whole arrays of queries
+    do so at once. ``extra``: copies of values (sorted, distinct) that belong to every piece.
+    """
 
-def _quantile(window, q: float) -> float:
-    """Linear interpolation between the two neighbouring order statistics, in currency units."""
-    spot = (window.total - 1) * q
-    low = int(spot)
-    below = window.at_rank(low)
-    if spot == low:
-        return below / 100.0
-    return (below + (window.at_rank(low + 1) - below) * (spot - low)) / 100.0
+    def __init__(self, values: np.ndarray, extra: tuple[np.ndarray, np.ndarray] | None = None):
+        more, copies = extra or (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.domain, code = np.unique(np.concatenate((values, more)), return_inverse=True)
+        code = code.astype(np.int32)
+        self.bits = max(1, int(len(self.domain) - 1).bit_length())
+        self.held = None
+        if len(more):
+            counts = np.zeros((1 << self.bits) + 1, np.int64)
+            counts[code[len(values):] + 1] = copies
+            self.held = np.cumsum(counts)
+        own = code[: len(values)]
+        self.zeros = []
+        for bit in range(self.bits - 1, -1, -1):
+            one = (own >> bit) & 1
+            before = np.zeros(len(own) + 1, np.int32)
+            np.cumsum(1 - one, out=before[1:])
+            self.zeros.append(before)
+            one = one.astype(bool)
+            own = np.concatenate((own[~one], own[one]))
+
+    def at_rank(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """The ``rank``-th smallest (from 0) of the pieces [left, right) and the extra values."""
+        left, right, rank = left.astype(np.int32), right.astype(np.int32), rank.astype(np.int64)
+        code = np.zeros(len(rank), np.int32)
+        for bit, before in zip(range(self.bits - 1, -1, -1), self.zeros):
+            a, b = before[left], before[right]
+            low = (b - a).astype(np.int64)
+            if self.held is not None:
+                low += self.held[code + (1 << bit)] - self.held[code]
+            up = rank >= low
+            rank -= np.where(up, low, 0)
+            left, right = np.where(up, before[-1] + left - a, a), np.where(up, before[-1] + right - b, b)
+            code |= up.astype(np.int32) << bit
+        return self.domain[code]
+
+
+QUARTILES = np.array([0.25, 0.5, 0.75])
+
+
+def _quartiles(ranks: RangeRanks, left: np.ndarray, right: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Quartiles of each piece, interpolated between neighbouring order statistics, in currency units."""
+    spot = (total[:, None] - 1) * QUARTILES
+    low = spot.astype(np.int64)
+    rank = np.concatenate((low, np.minimum(low + 1, total[:, None] - 1)), axis=1)
+    found = ranks.at_rank(np.repeat(left, 6), np.repeat(right, 6), rank.ravel()).reshape(-1, 6)
+    below, above = found[:, :3], found[:, 3:]
+    return (below + (above - below) * (spot - low)) / 100.0
 
 
 def _cell_quantiles(window_us: int):
-    """Handles every entity of a (hash cell, chunk) group on its own."""
+    """Handles all entities of a (hash cell, chunk) group at once; those with standing values one by one."""
     def one_cell(cell: pa.Table) -> pa.Table:
-        entity = cell.column("entity").to_numpy()
-        arrays = [cell.column(c).fill_null(0).to_numpy() for c in ("role", "transaction_id", "ts_us", "cents", "n")]
-        order = np.argsort(entity, kind="stable")
-        borders = np.flatnonzero(np.diff(entity[order])) + 1
-        out: list[tuple] = []
-        for index in np.split(order, borders):
-            out += _chunk_rows(window_us, *[a[index] for a in arrays])
-        columns = list(zip(*out)) if out else [[]] * 5
-        types = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types)],
+        entity, role, ids, ts, cents, n = (cell.column(c).fill_null(0).to_numpy() for c in ("entity", "role", "transaction_id", "ts_us", "cents", "n"))
+        hot = np.unique(entity[role == STANDING])
+        shared = ~np.isin(entity, hot)
+        parts = [_group(window_us, *(x[shared] for x in (entity, role, ids, ts, cents)))]
+        for one in hot.tolist():
+            own, stands = (entity == one) & (role != STANDING), (entity == one) & (role == STANDING)
+            value, at = np.unique(cents[stands], return_inverse=True)
+            parts.append(_group(window_us, *(x[own] for x in (entity, role, ids, ts, cents)),
+                                extra=(value, np.bincount(at, n[stands]).astype(np.int64))))
+        receiver, found, total = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        return pa.table([pa.array(receiver), *(pa.array(found[:, i]) for i in range(3)), pa.array(total)],
                         names=["transaction_id", "q1", "median", "q3", "prior_count"])
 
     return one_cell
 
 
-def _chunk_rows(window_us: int, role: np.ndarray, ids: np.ndarray, ts: np.ndarray, cents: np.ndarray,
-                n: np.ndarray) -> list[tuple]:
-    """One entity's chunk: (receiving row, q1, median, q3, count) after each of its own rows."""
-    own, leaving, standing = (np.flatnonzero(role == r) for r in (OWN, LEAVING, STANDING))
-    if not len(own):
-        return []
-    own = own[np.lexsort((ids[own], ts[own]))]
-    leaving = leaving[np.argsort(ts[leaving], kind="stable")]
-    small = not len(standing) and len(own) + len(leaving) <= _LIST_ROWS
-    window = _SortedValues() if small else _ValueCounts(np.unique(cents[role != HANDOVER]))
-    for value, copies in zip(cents[standing].tolist(), n[standing].tolist()):
-        window.add(value, copies)
-    leave_at, leave_value = (ts[leaving] + window_us).tolist(), cents[leaving].tolist()
-    for value in leave_value:
-        window.add(value, 1)
-    # A chunk is at most one window long, so its own rows never leave inside it. The state after a
-    # row belongs to the row that follows, in this chunk or the entity's next one.
-    receivers = ids[own].tolist()[1:] + ids[role == HANDOVER].tolist()
-    out, gone = [], 0
-    for receiver, at, value in zip(receivers, ts[own].tolist(), cents[own].tolist()):
-        while gone < len(leave_at) and leave_at[gone] <= at:
-            window.drop(leave_value[gone])
-            gone += 1
-        window.add(value, 1)
-        out.append((receiver, _quantile(window, 0.25), _quantile(window, 0.5), _quantile(window, 0.75), window.total))
-    return out
+def _group(window_us: int, entity: np.ndarray, role: np.ndarray, ids: np.ndarray, ts: np.ndarray, cents: np.ndarray,
+           extra: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Receiving row, quartiles and count after each own row of the entities of a chunk.
+
+    With an entity's leaving rows before its own ones, both in time order, every window is a contiguous piece: a chunk is
+    at most one window long, so its own rows never leave inside it. The state after a row belongs to the row that
+    follows, in this chunk or (handed over) in the entity's next one.
+    """
+    receivers = dict(zip(entity[role == HANDOVER].tolist(), ids[role == HANDOVER].tolist()))
+    rows = role != HANDOVER
+    entity, ids, ts, cents, own = entity[rows], ids[rows], ts[rows], cents[rows], role[rows] == OWN
+    order = np.lexsort((ids, ts, own, entity))
+    entity, ids, ts, cents, own = entity[order], ids[order], ts[order], cents[order], own[order]
+    # How many rows have left when an own row arrives: a running count over both kinds of moments.
+    moment = np.lexsort((own, np.where(own, ts, ts + window_us), entity))
+    gone = np.empty(len(own), np.int64)
+    gone[moment] = np.cumsum(~own[moment])
+    start = np.flatnonzero(np.concatenate(([True], entity[1:] != entity[:-1]))) if len(entity) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(entity)))
+    left_before = np.concatenate(([0], np.cumsum(~own)))[start]  # of earlier entities
+    at = np.flatnonzero(own)
+    left = (np.repeat(start - left_before, size) + gone)[at]
+    right = at + 1
+    total = right - left + (int(extra[1].sum()) if extra else 0)
+    follows = np.zeros(len(at), np.int64)
+    last = np.ones(len(at), bool)
+    last[:-1] = entity[at[1:]] != entity[at[:-1]]
+    follows[:-1] = ids[at[1:]]
+    handed = [receivers.get(e) for e in entity[at[last]].tolist()]
+    follows[last] = [r or 0 for r in handed]
+    keep = np.ones(len(at), bool)
+    keep[last] = [r is not None for r in handed]
+    if not keep.any():
+        return np.zeros(0, np.int64), np.zeros((0, 3)), np.zeros(0, np.int64)
+    left, right, total = left[keep], right[keep], total[keep]
+    return follows[keep], _quartiles(RangeRanks(cents, extra), left, right, total), total
