@@ -25,6 +25,20 @@ def _money(cents: Column) -> Column:
     return (F.round(cents) / 100).cast("decimal(14,2)")
 
 
+def mean_and_deviation() -> tuple[Column, Column]:
+    """Mean and sample deviation, as stored, from the columns wn, ws, wq: number, sum and sum of squares of cents.
+
+    Squares are about the whole cent m next below the mean, in decimals: q - 2ms + nm^2 loses nothing, where a
+    difference of large doubles would. The rest of the mean is less than a cent.
+    """
+    n, s = F.col("wn"), F.col("ws")
+    m = F.expr("ws div wn")
+    about = F.col("wq") - 2 * _exact(m) * _exact(s) + _exact(n) * (_exact(m) * _exact(m))
+    rest = (s - n * m).cast("double")
+    spread = F.greatest(about.cast("double") - rest * rest / n, F.lit(0.0))
+    return _money(s / n), F.when(n > 1, _money(F.sqrt(spread / (n - 1))))
+
+
 def _day_no() -> Column:
     return F.unix_date("day")
 
@@ -77,20 +91,14 @@ def customer_daily(
         "*", n.alias("wn"), s.alias("ws"), q.alias("wq"),
         F.sum("dm").over(sofar).alias("merchants"), F.sum("dd").over(sofar).alias("devices"),
     ).filter(F.col("n").isNotNull())
-    mean = F.col("ws") / F.col("wn")
-    # Squares about the whole cent m next below the mean, in decimals: q - 2ms + nm^2 loses nothing, where a
-    # difference of large doubles would. The rest of the mean is less than a cent.
-    m = F.expr("ws div wn")
-    about = F.col("wq") - 2 * _exact(m) * _exact(F.col("ws")) + _exact(F.col("wn")) * (_exact(m) * _exact(m))
-    rest = (F.col("ws") - F.col("wn") * m).cast("double")
-    spread = F.greatest(about.cast("double") - rest * rest / F.col("wn"), F.lit(0.0))
+    mean, deviation = mean_and_deviation()
     return days.select(
         "customer_id",
         F.date_from_unix_date("day_no").alias("metric_date"),
         F.col("n").cast("int").alias("txn_count"),
         (F.col("s") / 100).cast("decimal(14,2)").alias("txn_amount_sum"),
-        _money(mean).alias("txn_amount_avg_90d"),
-        F.when(F.col("wn") > 1, _money(F.sqrt(spread / (F.col("wn") - 1)))).alias("txn_amount_stddev_90d"),
+        mean.alias("txn_amount_avg_90d"),
+        deviation.alias("txn_amount_stddev_90d"),
         F.coalesce("merchants", F.lit(0)).cast("int").alias("distinct_merchants_30d"),
         F.coalesce("devices", F.lit(0)).cast("int").alias("distinct_devices_30d"),
     )
@@ -109,6 +117,6 @@ def merchant_daily(txn: DataFrame, labels: DataFrame, days_back: int = 90) -> Da
         F.date_from_unix_date("day_no").alias("metric_date"),
         F.col("n").cast("int").alias("txn_count"),
         (F.col("s") / 100).cast("decimal(14,2)").alias("txn_amount_sum"),
-        _money(F.col("ws") / F.col("wn")).alias("avg_txn_amount_90d"),
+        mean_and_deviation()[0].alias("avg_txn_amount_90d"),
         (F.col("wf") / F.col("wn")).cast("decimal(6,4)").alias("chargeback_rate_90d"),
     )

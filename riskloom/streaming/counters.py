@@ -1,4 +1,10 @@
-"""Velocity and failed-attempt counters as keyed state."""
+"""Velocity and failed-attempt counters as state by customer and slice of time.
+
+A slice is as long as the longest window, so a count looks into a row's own slice and the one before. Each arriving row goes
+to its own slice, which answers it, and is handed to the next one, where it only stands for later rows to be counted. So
+one customer's rows spread over as many groups as slices arrive, a group never holds more than two
+slices, and its state is dropped when the watermark has passed its end.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from riskloom.operators.slices import US_PER_MINUTE
+from riskloom.operators.slices import US_PER_MINUTE, floor_div
 from riskloom.plans.features import FAILED_WINDOW_MIN, VELOCITY_LONG_MIN, VELOCITY_SHORT_MIN
 
 _OUT = ("customer_id long, transaction_id long, txn_count_last_10min long, txn_count_last_60min long, "
@@ -22,39 +28,41 @@ def _count_before(times: np.ndarray, at: np.ndarray, width_us: int) -> np.ndarra
     return np.searchsorted(times, at, "left") - np.searchsorted(times, at - width_us, "left")
 
 
+def by_slice(arriving: DataFrame, width_us: int) -> DataFrame:
+    """Each row under its own slice, and handed over to the next."""
+    own = floor_div(F.col("ts_us"), width_us)
+    return arriving.select(
+        "customer_id", "transaction_id", "transaction_ts", "ts_us", (F.col("status") == "FAILED").alias("failed"),
+        F.inline(F.array(F.struct(own.alias("slice_no"), F.lit(False).alias("handed")),
+                         F.struct((own + 1).alias("slice_no"), F.lit(True).alias("handed")))))
+
+
 def velocity_counts(arriving: DataFrame, late: str = "1 day", short_min: int = VELOCITY_SHORT_MIN,
                     long_min: int = VELOCITY_LONG_MIN, failed_min: int = FAILED_WINDOW_MIN) -> DataFrame:
-    """Counts of strictly earlier rows per arriving row.
-
-    The state of a customer is the times still inside the longest window plus the allowed lateness,
-    and it is dropped when the watermark has passed them. Rows later than ``late`` are discarded by
-    the watermark.
-    """
+    """Counts of strictly earlier rows per arriving row. Rows later than ``late`` are discarded by the watermark."""
     longest = max(short_min, long_min, failed_min) * US_PER_MINUTE
 
     def update(key: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        old = state.get if state.exists else ([], [])
         page = pd.concat(list(pages))
-        at = page["ts_us"].to_numpy(np.int64)
+        old = state.get if state.exists else ([], [])
+        at, failing = page["ts_us"].to_numpy(np.int64), page["failed"].fillna(False).to_numpy(bool)
         times = np.sort(np.concatenate([np.array(old[0], np.int64), at]))
-        failed = np.sort(np.concatenate([
-            np.array(old[1], np.int64), at[(page["status"] == "FAILED").to_numpy()]]))
+        failed = np.sort(np.concatenate([np.array(old[1], np.int64), at[failing]]))
+        own = ~page["handed"].to_numpy(bool)
+        asked = at[own]
         yield pd.DataFrame({
-            "customer_id": key[0], "transaction_id": page["transaction_id"].to_numpy(),
-            "txn_count_last_10min": _count_before(times, at, short_min * US_PER_MINUTE),
-            "txn_count_last_60min": _count_before(times, at, long_min * US_PER_MINUTE),
-            "recent_failed_count_15min": _count_before(failed, at, failed_min * US_PER_MINUTE)})
-        watermark = state.getCurrentWatermarkMs() * 1000
-        keep = min(watermark, int(times[-1])) - longest
-        state.update((times[times >= keep].tolist(), failed[failed >= keep].tolist()))
-        state.setTimeoutTimestamp(max(int(times[-1]) + longest, watermark + 1000) // 1000 + 1)
+            "customer_id": key[0], "transaction_id": page["transaction_id"].to_numpy()[own],
+            "txn_count_last_10min": _count_before(times, asked, short_min * US_PER_MINUTE),
+            "txn_count_last_60min": _count_before(times, asked, long_min * US_PER_MINUTE),
+            "recent_failed_count_15min": _count_before(failed, asked, failed_min * US_PER_MINUTE)})
+        state.update((times.tolist(), failed.tolist()))
+        end = (int(key[1]) + 1) * longest
+        state.setTimeoutTimestamp(max(end // 1000, state.getCurrentWatermarkMs()) + 1)
 
     return (
-        arriving.withWatermark("transaction_ts", late)
-        .select("customer_id", "transaction_id", "transaction_ts", "ts_us", "status")
-        .groupBy("customer_id")
+        by_slice(arriving.withWatermark("transaction_ts", late), longest).groupBy("customer_id", "slice_no")
         .applyInPandasWithState(update, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
