@@ -968,6 +968,82 @@ def _travel(b):
     return f.select("transaction_id", r4(haversine_km(*here), "distance_km"), r4(implied_speed_kmh(*here, hours), "implied_speed_kmh"))
 
 
+# ---------------------------------------------------------------- monitoring per model and period
+_MONITOR_SQL = """
+  SELECT s.*, model, date_trunc('week', ts) AS week, CASE model WHEN 'amount' THEN s.ml ELSE s.forest END AS x
+  FROM parts s, (VALUES ('amount'), ('id_share')) m(model)"""
+
+
+@query("model_monitoring", S.SCORES + f""",
+    mon_rows AS ({_MONITOR_SQL}),
+    mon_cuts AS (SELECT model, list_sort(list_distinct(quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS c FROM mon_rows
+      WHERE split = 'train' GROUP BY 1),
+    mon_binned AS (SELECT s.*, len(list_filter(c, lambda v: v <= x)) AS bin FROM mon_rows s JOIN mon_cuts USING (model)),
+    mon_bins AS (SELECT model, unnest(range(0, len(c) + 1)) AS bin FROM mon_cuts),
+    mon_ref AS (SELECT b.model, b.bin, greatest(0.0001, count(x) FILTER (WHERE split = 'train') / (SELECT count(*) FROM parts WHERE split = 'train')) AS r
+      FROM mon_bins b LEFT JOIN mon_binned x ON x.model = b.model AND x.bin = b.bin GROUP BY 1, 2),
+    mon_per AS (SELECT model, week, count(*) AS n, count_if(is_fraud) AS p, greatest(1, floor(count(*) * 0.02)) AS k FROM mon_rows GROUP BY 1, 2),
+    mon_psi AS (SELECT p.model, p.week, sum((s - r) * (ln(s) - ln(r))) AS psi FROM
+      (SELECT p.model, p.week, ref.bin, r, greatest(0.0001, (SELECT count(*) FROM mon_binned b WHERE b.model = p.model AND b.week = p.week AND b.bin = ref.bin) / n) AS s
+       FROM mon_per p JOIN mon_ref ref USING (model)) p GROUP BY 1, 2),
+    mon_ordered AS (SELECT s.model, s.week, s.is_fraud, p, n, k,
+        row_number() OVER (PARTITION BY s.model, s.week ORDER BY x DESC, transaction_id) AS place,
+        count(*) OVER w AS cum_n, sum(CAST(is_fraud AS INT)) OVER w AS cum_pos
+      FROM mon_rows s JOIN mon_per per USING (model, week) WINDOW w AS (PARTITION BY s.model, s.week ORDER BY x DESC))
+    """, f"""
+    SELECT model AS model_name, 'v1' AS model_version, strftime(week, '%Y-%m-%d') AS period_start, strftime(week + INTERVAL 6 DAY, '%Y-%m-%d') AS period_end,
+      {d4('count(*) FILTER (WHERE is_fraud AND place <= k) / any_value(k)', 'precision_at_k', 5)},
+      {d4('coalesce(max(cum_pos) FILTER (WHERE (cum_n - cum_pos) / (n - p) <= 0.01), 0) / nullif(any_value(p), 0)', 'recall_at_fpr', 5)},
+      {d4('sum(CASE WHEN is_fraud THEN cum_pos / cum_n ELSE 0 END) / nullif(any_value(p), 0)', 'pr_auc', 5)},
+      {d4('any_value(psi)', 'psi_score', 5)}, {d4('any_value(p) / any_value(n)', 'fraud_rate', 5)}
+    FROM mon_ordered JOIN mon_psi USING (model, week) GROUP BY model, week""")
+def _monitoring(b):
+    from riskloom.plans.monitoring import FrozenBins, monitor
+    rows = b.scored.select("transaction_id", "transaction_ts", "split", "is_fraud", F.least(F.lit(1.0), F.col("amount") / 500).alias("amount"),
+                           ((F.col("transaction_id") % 100) / 100.0).alias("id_share"))
+    out = None
+    for model in ("amount", "id_share"):
+        bins = FrozenBins.of(rows.filter("split = 'train'"), model)
+        one = monitor(rows, bins, F.date_trunc("week", "transaction_ts"), F.date_add(F.to_date("period_start"), 6), model, "v1", score=model)
+        out = one if out is None else out.unionByName(one)
+    return out.select("model_name", "model_version", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("period_start", "period_end")],
+                      *[r4(c, digits=5) for c in ("precision_at_k", "recall_at_fpr", "pr_auc", "psi_score", "fraud_rate")])
+
+
+# A literal model of three leaves paths: (value, [(feature, low, high, share of cover)]), over amount, hour and prior rows.
+_INF = float("inf")
+_LITERAL_LEAVES = [
+    (1.5, [(0, -_INF, 60.0, 0.5), (1, -_INF, 11.0, 0.4)]), (-0.5, [(0, -_INF, 60.0, 0.5), (1, 11.0, _INF, 0.6)]),
+    (2.0, [(0, 60.0, _INF, 0.5), (2, -_INF, 20.0, 0.7), (1, -_INF, 17.0, 0.75)]),
+    (0.25, [(0, 60.0, _INF, 0.5), (2, -_INF, 20.0, 0.7), (1, 17.0, _INF, 0.25)]), (3.0, [(0, 60.0, _INF, 0.5), (2, 20.0, _INF, 0.3)])]
+
+
+def _literal_attribution() -> str:
+    """Shapley values of the literal model written out: for two and three conditions the sums over subsets are short."""
+    names = ["amount", "hour", "prior"]
+    total = ["0.0"] * 3
+    for value, path in _LITERAL_LEAVES:
+        o = [f"(CASE WHEN {names[f]} > {lo if lo > -_INF else '-1e300'} AND {names[f]} <= {hi if hi < _INF else '1e300'} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+             for f, lo, hi, _ in path]
+        z = [f"{share}::DOUBLE" for *_, share in path]
+        for i, (f, *_) in enumerate(path):
+            j, *k = [x for x in range(len(path)) if x != i]
+            rest = f"({z[j]} + {o[j]}) / 2"
+            if k:
+                rest = f"(2 * {z[j]} * {z[k[0]]} + {z[j]} * {o[k[0]]} + {o[j]} * {z[k[0]]} + 2 * {o[j]} * {o[k[0]]}) / 6"
+            total[f] += f" + {value}::DOUBLE * ({o[i]} - {z[i]}) * {rest}"
+    return ", ".join(d4(t, f"of_{n}", 6) for t, n in zip(total, names))
+
+
+@query("tree_attribution_literal_model", S.FEATURES, f"""
+    SELECT transaction_id, {_literal_attribution()} FROM geo""")
+def _literal_tree(b):
+    from riskloom.plans.attribution import path_contributions
+    rows = b.features.select("transaction_id", F.array(*[F.col(c).cast("double") for c in ("amount", "hour", "total_prior_txns")]).alias("x"))
+    told = path_contributions(rows, _LITERAL_LEAVES, "x", 3)
+    return told.select("transaction_id", *[r4(F.col("contributions")[i], f"of_{n}", 6) for i, n in enumerate(("amount", "hour", "prior"))])
+
+
 # ---------------------------------------------------------------- models (no SQL form: rows only)
 
 
@@ -1063,7 +1139,7 @@ def _model_scores(b):
 def _stream_rules(b):
     from riskloom.streaming.scorer import start_scoring
     run = b.run_folder("scorer")
-    start_scoring(b.arriving, b.star, f"{run}/history", f"{run}/firings", f"{run}/progress").awaitTermination()
+    start_scoring(b.arriving, b.star, f"{run}/firings", f"{run}/progress").awaitTermination()
     return b.spark.read.parquet(f"{run}/firings").select("transaction_id", "rule_id", "severity", r4("measure"))
 
 

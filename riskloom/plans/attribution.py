@@ -2,12 +2,12 @@
 
 Linear model: coefficient x (value - train mean), plain column expressions. Boosted trees:
 path-dependent Shapley values (Lundberg et al. 2018), computed in Arrow batches over the broadcast
-trees -- a model of bounded size -- and aggregated by Spark.
+trees -- a model of bounded size -- and aggregated by Spark. A leaf costs the square of its depth for
+each pattern of conditions that occurs.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -71,46 +71,48 @@ def tree_paths(model) -> list[list[tuple]]:
     return leaves
 
 
-def leaf_table(value: float, path: list[tuple]) -> np.ndarray:
-    """Contributions of one leaf's features for every pattern of conditions that hold (2^depth rows).
+def leaf_contributions(value: float, shares: np.ndarray, holds: np.ndarray) -> np.ndarray:
+    """Contributions of one leaf's features, a row for each pattern of conditions that hold.
 
-    Bit j of the row number says whether condition j holds. In the sum over feature subsets a known feature
-    holds (1/0), an unknown one is averaged (its cover share).
+    In the sum over feature subsets a known feature holds (1/0), an unknown one is averaged (its cover share). The weight of a
+    subset of size k among m - 1 others is the integral of t^k (1 - t)^(m - 1 - k) over [0, 1]. So the weighted sum of products
+    is the integral of one product of linear factors, the path extended by every feature but one: the product over the
+    whole path, unwound by that feature's factor. Its degree is m - 1, for which Gauss-Legendre with m/2 nodes is exact.
     """
-    m = len(path)
-    holds = (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float)
-    shares = np.array([share for *_, share in path])
-    out = np.zeros((1 << m, m))
-    for i in range(m):
-        others = [j for j in range(m) if j != i]
-        for size in range(m):
-            weight = math.factorial(size) * math.factorial(m - size - 1) / math.factorial(m)
-            for known in itertools.combinations(others, size):
-                unknown = [j for j in others if j not in known]
-                out[:, i] += weight * holds[:, list(known)].prod(axis=1) * shares[unknown].prod()
-        out[:, i] *= value * (holds[:, i] - shares[i])
-    return out
+    m = len(shares)
+    nodes, weights = np.polynomial.legendre.leggauss(m // 2 + 1)
+    out = np.zeros(holds.shape)
+    for t, w in zip((nodes + 1) / 2, weights / 2):
+        factors = holds * t + shares * (1 - t)  # never 0: shares are positive
+        out += w * factors.prod(axis=1, keepdims=True) / factors
+    return value * (holds - shares) * out
 
 
-def tree_contributions(rows: DataFrame, model, features: str = "plain") -> DataFrame:
-    """Adds ``contributions`` and ``base``; base + sum = the ensemble's margin."""
-    leaves = tree_paths(model)
+def path_contributions(rows: DataFrame, leaves: list[tuple], features: str, width: int) -> DataFrame:
+    """Adds ``contributions`` and ``base`` for a model given by the paths to its leaves (as ``tree_paths`` returns them)."""
     base = float(sum(v * math.prod(z for *_, z in path) for v, path in leaves))
-    tables = [(np.array([f for f, *_ in path]), np.array([lo for _, lo, _, _ in path]), np.array([hi for _, _, hi, _ in path]),
-               leaf_table(value, path)) for value, path in leaves if path]
-    shared, width = rows.sparkSession.sparkContext.broadcast(tables), model.numFeatures
+    held = [(value, *(np.array(c) for c in zip(*path))) for value, path in leaves if path]
+    shared = rows.sparkSession.sparkContext.broadcast(held)
 
     def shapley(batch: pd.Series) -> pd.Series:
         x = np.stack(batch.to_numpy()).astype(float).reshape(-1, width)
         out = np.zeros_like(x)
-        for features_, low, high, table in shared.value:
-            own = x[:, features_]
-            pattern = ((own > low) & (own <= high)) @ (1 << np.arange(len(features_)))
-            out[:, features_] += table[pattern]
+        for value, at, low, high, shares in shared.value:
+            own = x[:, at]
+            # Rows with the same conditions holding have the same contributions.
+            bits = np.arange(len(at), dtype=np.int64)
+            patterns, which = np.unique(((own > low) & (own <= high)) @ (1 << bits), return_inverse=True)
+            out[:, at] += leaf_contributions(value, shares, (patterns[:, None] >> bits & 1).astype(float))[which]
         return pd.Series(list(out))
 
     udf = F.pandas_udf(shapley, ArrayType(DoubleType()))
-    return rows.withColumn("contributions", udf(vector_to_array(features))).withColumn("base", F.lit(base))
+    return rows.withColumn("contributions", udf(F.col(features))).withColumn("base", F.lit(base))
+
+
+def tree_contributions(rows: DataFrame, model, features: str = "plain") -> DataFrame:
+    """Adds ``contributions`` and ``base``; base + sum = the ensemble's margin."""
+    known = rows.withColumn("_x", vector_to_array(features))
+    return path_contributions(known, tree_paths(model), "_x", model.numFeatures).drop("_x")
 
 
 def global_importance(contributed: DataFrame, names: list[str], top_n: int = 15) -> DataFrame:

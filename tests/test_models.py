@@ -1,5 +1,6 @@
 """Preprocessing constants, forest, boosted trees, attribution on small frames."""
 
+import itertools
 import math
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from riskloom.plans.attribution import linear_contributions, top_contributors, tree_contributions
+from riskloom.plans.attribution import linear_contributions, path_contributions, top_contributors, tree_contributions
 from riskloom.plans.forest import FOREST_FEATURES, fit_forest
 from riskloom.plans.matrix import BOOLEAN, CATEGORICAL, FEATURE_COLUMNS, IDENTIFIERS, NUMERIC
 from riskloom.plans.models import fit_boosted, fit_logistic, prepare, with_probability
@@ -92,6 +93,47 @@ def test_boosted_trees_select_on_validation_and_attribution_adds_up(prepared):
         assert r.told == pytest.approx(r.raw, abs=1e-6)
 
 
+def _random_tree(rng, depth, n_features):
+    """Leaves of a full random tree over n_features, with cover shares; and a function that gives its value for x."""
+    leaves = []
+
+    def grow(level, seen, cover):
+        if level == depth:
+            leaves.append((float(rng.normal()), [(f, lo, hi, z) for f, (lo, hi, z) in seen.items()]))
+            return
+        f = int(rng.integers(n_features))
+        lo, hi, z = seen.get(f, (-math.inf, math.inf, 1.0))
+        cut, share = float(rng.uniform(max(lo, 0), min(hi, 1))), float(rng.uniform(0.2, 0.8))
+        grow(level + 1, {**seen, f: (lo, cut, z * share)}, cover)
+        grow(level + 1, {**seen, f: (cut, hi, z * (1 - share))}, cover)
+
+    grow(0, {}, 1.0)
+    return leaves
+
+
+def _expected(leaves, x, known):
+    """Value of the tree when only the known features are given."""
+    return sum(v * math.prod((lo < x[f] <= hi) if f in known else z for f, lo, hi, z in path) for v, path in leaves)
+
+
+def test_tree_attribution_equals_all_subsets_and_holds_at_depth(spark):
+    rng = np.random.default_rng(4)
+    x = rng.uniform(size=(25, 5))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    leaves = [leaf for _ in range(3) for leaf in _random_tree(rng, 3, 5)]
+    for r in path_contributions(rows, leaves, "x", 5).collect():
+        for f in range(5):
+            others = [g for g in range(5) if g != f]
+            want = sum(math.factorial(len(s)) * math.factorial(4 - len(s)) / math.factorial(5) *
+                       (_expected(leaves, x[r.id], {*s, f}) - _expected(leaves, x[r.id], set(s)))
+                       for size in range(5) for s in itertools.combinations(others, size))
+            assert r.contributions[f] == pytest.approx(want, abs=1e-9)
+    deep, wide = _random_tree(rng, 12, 20), rng.uniform(size=(10, 20))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(wide)], "id long, x array<double>")
+    for r in path_contributions(rows, deep, "x", 20).collect():
+        assert r.base + sum(r.contributions) == pytest.approx(_expected(deep, wide[r.id], set(range(20))), abs=1e-6)
+
+
 def test_stored_models_score_and_explain(spark, matrix, prepared, tmp_path):
     from riskloom.plans.model_store import FittedModels
     from riskloom.plans.scoring import ScoringConstants
