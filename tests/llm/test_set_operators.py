@@ -318,6 +318,6 @@ def test_components_of_a_chain(spark):
 
 def test_registered_queries_keep_every_document(spark):
     count = spark.read.parquet(f"{SMALL}/documents.parquet").count()
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     for name in ("op4_repeated_substrings", "op8_toxicity"):
         assert QUERIES[name](spark, SMALL).count() == count
