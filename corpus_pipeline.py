@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from riskloom.llm import bpe, decontaminate, neardup, pii, toxicity
 from riskloom.llm.common import table
 from riskloom.llm.queries import tokenizer, toxicity_model
-from riskloom.session import ensure_checkpoint_dir
+from riskloom.session import cut_lineage, ensure_checkpoint_dir
 
 #: Score from which a document is rejected as toxic.
 REJECT = 0.5
@@ -32,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at 0.8 or more, the document of smallest id."""
     groups = neardup.near_duplicates(docs, "doc_id", "text")
-    dropped = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct().persist()
+    dropped = cut_lineage(groups.filter(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct())
     gone = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
     return docs.join(gone, F.col("doc_id") == F.col("__dropped"), "left_anti")
 
