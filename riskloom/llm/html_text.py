@@ -5,7 +5,8 @@ full) and grandparent (half); a container's points are discounted by the share o
 If the best container lies in an article element (or else in main), all of that is kept, and its siblings of the same kind
 that score like it. Otherwise all that stands beside the container, and beside ancestors that hold half of its points, is
 kept unless a quarter of its text is links. Inside what is kept, blocks that are not article text (menus, headers,
-footers, sidebars, notices, adverts, forms, comments, scripts, styles) are left out.
+footers, sidebars, notices, adverts, forms, comments, scripts, styles) are left out. A form that holds an article, and an
+element inside an article that only bears a doubtful name, stay if they have an article's amount of text besides links.
 
 Null or empty pages give the empty text. Unclosed and misnested tags, a tag cut off at the end, unknown entities and
 bare ``<`` are taken as browsers take them, roughly: they never fail. Text before any block forms a block of its own.
@@ -43,50 +44,60 @@ PARAGRAPHS = frozenset("p pre li blockquote h1 h2 h3 h4 h5 h6 dd td".split())
 
 # Words in class and id names that mark what is not article text, and what is.
 _NEGATIVE = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|byline-share|combx|comments?|commentlist|community|contact|cookies?|consent|"
-    r"disqus|disclaimer|feedback|footer|footnav|gdpr|header|hidden|legal|masthead|menu|meta|modal|nav|navbar|navigation|newsletter|"
-    r"notices?|outbrain|pager|pagination|popup|privacy|promo\w*|recommend\w*|related|replies|reply|respond|rss|share|sharing|shoutbox|"
-    r"sidebar|signup|skyscraper|social|sponsor\w*|subscribe\w*|tags|taboola|teaser|toolbar|tools|warning|widgets?)(?:$|[-_\s\d])", re.I)
+    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|community|contact|cookies?|consent|"
+    r"disqus|disclaimer|feedback|footer|gdpr|header|hidden|legal|masthead|menu|meta|modal|nav|navbar|navigation|newsletter|"
+    r"notices?|outbrain|pager|pagination|popup|privacy|promo\w*|recommend\w*|related|replies|reply|respond|rss|share|sharing|"
+    r"sidebar|signup|social|sponsor\w*|subscribe\w*|tags|taboola|teaser|toolbar|tools|warning|widgets?)(?:$|[-_\s\d])", re.I)
 _NEVER_ARTICLE = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|comments?|promo\w*|related|replies|reply|respond|sponsor\w*|teaser|widgets?)(?:$|[-_\s\d])", re.I)
+#: Names that parts of an article bear too. Inside one they only count where the text is short or mainly links.
+_WEAK = re.compile(r"(?:^|[-_\s])(?:banner|community|contact|disclaimer|feedback|header|hidden|legal|meta|notices?|privacy|tags|tools|warning)(?:$|[-_\s\d])", re.I)
+#: Characters of text from which an element of a weak name, or the paragraphs of a form, are article text.
+ARTICLE_CHARS = 400
 #: A class of its own that names the article outweighs others that do not (``content has-sidebar``).
 _ARTICLE_NAMES = frozenset("article content entry main post story article-body article-content entry-content main-content post-body post-content".split())
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _POSITIVE = re.compile(r"article|body|content|entry|main|page|post|story|text|blog", re.I)
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+#: A name, and a value in quotes or up to the next space: a quote inside an unquoted value is a letter like others.
+_ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+_TOKEN = re.compile(
+    r"<!--(?:.*?-->|.*\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
+    r"""((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+|=)*+)(?:>|\Z)""", re.S)
 _SPACE = re.compile(r"\s+")
 COMMAS = re.compile(r"[,،、，]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "weight", "points", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "children", "dropped", "weight", "points", "chars", "link_chars", "doubtful")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False, weight: int = 0):
         self.tag, self.parent, self.children = tag, parent, []
         self.dropped, self.weight, self.points, self.chars, self.link_chars = dropped, weight, 0.0, 0, 0
+        self.doubtful = False  # left out unless its text says that it belongs to the article
 
 
-def _judge(tag: str, attributes: str) -> tuple[bool, int]:
-    """Whether the element is left out, and points for its names."""
-    if tag in DROPPED:
-        return True, 0
-    weight = 0
+def _judge(tag: str, attributes: str) -> tuple[bool, bool, int]:
+    """Whether the element is left out, whether its text decides about that, and points for its names."""
+    if tag in DROPPED and tag != "form":
+        return True, False, 0
+    weight, doubtful = 0, tag == "form"
     if attributes:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), a or b or c
+            name, value = name.lower(), html.unescape(a or b or c)
             if name in ("class", "id"):
                 value = _CAMEL.sub("-", value)
                 worst = _NEVER_ARTICLE if tag in ("article", "main") else _NEGATIVE
                 if tag not in ("body", "html") and worst.search(value) and not _ARTICLE_NAMES & {*value.lower().split()}:
-                    return True, 0
+                    if worst.search(_WEAK.sub(" ", value)) or value.lower().strip() == "hidden":
+                        return True, False, 0
+                    doubtful = True
                 if _POSITIVE.search(value):
                     weight += 25
             elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                return True, 0
+                return True, False, 0
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True, 0
-    return False, weight
+                return True, False, 0
+    return False, doubtful, weight
 
 
 def parse(page: str) -> Node:
@@ -135,10 +146,11 @@ def parse(page: str) -> Node:
                 if node.tag in SCOPE or node.tag == "#root":
                     break
         attributes = found[3]
-        dropped, weight = _judge(tag, attributes)
+        dropped, doubtful, weight = _judge(tag, attributes)
         if tag == "header" and not counts.get("article") and not counts.get("main"):
             dropped = True  # the page's; an article's own header holds its title
         node = Node(tag, open_[-1], dropped, weight)
+        node.doubtful = doubtful
         open_[-1].children.append(node)
         if tag in VOID or attributes.rstrip().endswith("/") and tag in ("svg", "math"):
             continue
@@ -179,6 +191,45 @@ def _score(root: Node) -> list[Node]:
     return [n for n in order if n.tag in CONTAINERS]
 
 
+def _settle(root: Node) -> None:
+    """Decide about doubtful elements, outermost first.
+
+    A form stays if it holds an article or main element, or paragraphs with ``ARTICLE_CHARS`` of text besides links: some
+    pages are one form. Of other elements those inside an article or main element stay that have so much text.
+    """
+    below, stack = [], [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        below.append((node, inside))
+        inside = inside or node.tag in ("article", "main")
+        stack += [(c, inside) for c in node.children if isinstance(c, Node) and not c.dropped]
+    own: dict[int, tuple[int, bool]] = {}
+    for node, inside in reversed(below):  # children come before their parents
+        chars, holds = 0, node.tag in ("article", "main")
+        if node.tag == "p":
+            chars = _plain(node)
+        else:
+            for c in node.children:
+                if isinstance(c, Node) and not c.dropped:
+                    a, b = own[id(c)]
+                    chars, holds = chars + a, holds or b
+        own[id(node)] = (chars, holds)
+        if node.doubtful:
+            node.dropped = not (holds or chars >= ARTICLE_CHARS) if node.tag == "form" else not (inside and chars >= ARTICLE_CHARS)
+
+
+def _plain(node: Node) -> int:
+    """Characters of text besides links."""
+    total, stack = 0, [node]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, str):
+                total += len(_SPACE.sub(" ", c).strip())
+            elif not c.dropped and c.tag != "a":
+                stack.append(c)
+    return total
+
+
 def _final(node: Node) -> float:
     bonus = node.weight + (30 if node.tag in ("article", "main") else 0)
     return (node.points + (bonus if node.points else 0)) * (1 - node.link_chars / max(node.chars, 1))
@@ -264,6 +315,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _settle(root)
     containers = _score(root)
     best = max(containers, key=_final, default=None)
     if best is None or _final(best) <= 0:

@@ -300,6 +300,17 @@ def test_near_duplicates(spark, documents, nothing, words, leaf, block, monkeypa
     assert neardup.near_duplicates(nothing, "doc_id", "text").count() == 0
 
 
+def test_rows_without_an_id_come_back(spark):
+    base = prose(80, 3)
+    df = spark.createDataFrame([(1, base), (None, base), (2, base), (None, None), (None, "one")], "doc_id long, text string")
+    near = sorted((tuple(r) for r in neardup.near_duplicates(df, "doc_id", "text").collect()), key=repr)
+    assert near == sorted([(1, 76, 1, True), (2, 76, 1, False), (None, 76, None, None), (None, 0, None, None), (None, 1, None, None)], key=repr)
+    cut = {(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in substrings.repeated(df, "doc_id", "text").collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    n = len(base)
+    assert cut == {(1, n, 0, digest(base)), (2, n, n, digest("")), (None, n, 0, digest(base)), (None, 0, 0, digest("")), (None, 3, 0, digest("one"))}
+
+
 def test_hash_sample_is_the_rows_of_smallest_hash(spark):
     from riskloom.llm.common import hash_sample
 

@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
-from awkward import SMALL, documents, nothing  # noqa: F401
+from awkward import SMALL, documents, nothing, prose  # noqa: F401
 
 from riskloom.llm import bpe, html_text, langid, toxicity
 from riskloom.llm.common import held_out
@@ -184,3 +184,31 @@ def test_pages_keep_every_row(spark):
     rows = html_text.page_texts(pages, "page_id", "url", "html").collect()
     assert sorted((r["page_id"], r["n_chars"]) for r in rows) == [(1, 71), (1, 71), (2, 0), (3, 0)]
     assert html_text.page_texts(pages.limit(0), "page_id", "url", "html").count() == 0
+
+
+ARTICLE = [f"Sentence {i} of the article, with commas, and some more words to be long enough." for i in range(8)]
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<body><form action=x><div class=content>{a}<p title=don't>one</p><p>it's two</p></div><input name=q></form></body>", [*ARTICLE, "one", "it's two"]),
+    ("<body><article>{a}<div class=legal>{a}</div><div class='hidden-gem'>{a}</div><div class=meta>by me</div></article></body>", ARTICLE * 3),
+    ("<body><article>{a}</article><form><p>Leave a comment</p><textarea>x</textarea></form></body>", ARTICLE),
+    ("<body><article>{a}</article><form class=comment-form><p>" + "word " * 200 + "</p></form></body>", ARTICLE),
+    ("<body><article><p data-x=\"a>b\" class='c'>{a}</article><aside>{a}</aside></body>", ARTICLE),
+    ("<body><article>{a}<p title=\"class=ad\">kept</p><p class=ad>Buy now</p></article></body>", [*ARTICLE, "kept"])])
+def test_article_text_is_whole(page, want):
+    page = page.replace("{a}", "".join(f"<p>{t}</p>" for t in ARTICLE))
+    assert html_text.main_text(page).split("\n") == want
+
+
+def test_generated_pages_give_their_articles():
+    """Known articles in sections of unequal length, between furniture of several kinds."""
+    rng = random.Random(5)
+    for n in range(60):
+        blocks = [prose(rng.randint(3, 60), n * 50 + i) + "," for i in range(rng.randint(3, 14))]
+        tags = [rng.choice(["p", "p", "p", "h2", "li", "blockquote"]) for _ in blocks]
+        inner = "".join(f"<{t}>{b}</{t}>" if t != "li" else f"<ul><li>{b}</li></ul>" for t, b in zip(tags, blocks))
+        menu = "<nav><ul>" + "".join(f"<li><a href=/{i}>{prose(2, i)}</a></li>" for i in range(6)) + "</ul></nav>"
+        wrap = rng.choice(["<article>{}</article>", "<main><div class=story>{}</div></main>", "<article><section>{}</section></article>"])
+        page = f"<html><body><header>top</header>{menu}{wrap.format(inner)}<div class='{rng.choice(['sidebar', 'ad', 'related'])}'>{prose(30, n)}</div><footer>end</footer>"
+        assert html_text.main_text(page).split("\n") == blocks
