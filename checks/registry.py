@@ -120,6 +120,22 @@ def _customer_daily_stored(b):
     return _cd_out(b.spark.read.parquet(path))
 
 
+def _changed_days(b, table):
+    """Stored without every 97th transaction, which then comes late: only the days that it touches are computed anew."""
+    from riskloom import jobs
+    from riskloom.sources import sinks
+    late, root = F.col("transaction_id") % 97 == 5, b.run_folder("changed")
+    early = b.star.txn.filter(~late)
+    sinks.refresh_baselines(b.spark, lambda: customer_daily(early), lambda: merchant_daily(early, b.star.labels), root)
+    jobs.refresh_changed_days(b.spark, b.star, b.star.txn.filter(late), root)
+    return b.spark.read.parquet(f"{root}/fact_{table}_daily_metrics")
+
+
+@query("customer_daily_metrics_changed_days", S.TXN + "," + S.customer_daily(), _CD_SQL)
+def _customer_daily_changed(b):
+    return _cd_out(_changed_days(b, "customer"))
+
+
 @query("customer_daily_metrics_9d_3d", S.TXN + "," + S.customer_daily(amount_days=9, distinct_days=3), _CD_SQL)
 def _customer_daily_short(b):
     return _cd_out(customer_daily(b.star.txn, 9, 3))
@@ -726,6 +742,16 @@ def _state(b):
     return state.select("case_id", "status", "assigned_investigator", "resolution", ts_text("resolved_at", "resolved_at"))
 
 
+@query("case_state_in_two_runs", S.CASES, _STATE)
+def _state_two_runs(b):
+    """The state after the first actions is stored; a second run reads it and only replays what came since."""
+    path = b.run_folder("state")
+    first, _ = C.advance(b.opened.withColumn("last_seq", F.lit(None).cast("long")), b.log.filter("seq <= 2"))
+    first.write.parquet(path)
+    state, _ = C.advance(b.spark.read.parquet(path), b.log)
+    return state.select("case_id", "status", "assigned_investigator", "resolution", ts_text("resolved_at", "resolved_at"))
+
+
 @query("rejected_case_actions", S.CASES, """
     SELECT case_id, CASE WHEN status = 'CLOSED' THEN 'ESCALATE' ELSE 'REOPEN' END AS action_type, status AS previous_status,
       CASE WHEN status = 'CLOSED' THEN 'not valid from status' ELSE 'unknown action' END AS reason

@@ -7,11 +7,12 @@ repeated. Order: baselines, rules, statistics, scoring, training, investigation.
 from __future__ import annotations
 
 import argparse
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.operators.baselines import customer_daily, merchant_daily
+from riskloom.operators.baselines import changed_daily, customer_daily, merchant_daily
 from riskloom.operators.ordering import chronological_split
 from riskloom.plans import alerts as A, cases as C, evaluation as E, exposure as X, rules as U
 from riskloom.plans.anomaly import (
@@ -55,6 +56,22 @@ def run_baselines(spark: SparkSession, root: str) -> DataFrame:
         spark, lambda: customer_daily(star.txn), lambda: merchant_daily(star.txn, star.labels), root)
 
 
+def refresh_changed_days(spark: SparkSession, star: Star, changed: DataFrame, root: str) -> DataFrame:
+    """Both daily tables after some transactions changed; a one-row report of the rows computed and the days rewritten.
+
+    ``changed``: customer_id, merchant_id and day of the transactions that came, went or were altered.
+    """
+    started, report = time.monotonic(), {}
+    for name, compute in (("customer", customer_daily), ("merchant", lambda txn: merchant_daily(txn, star.labels))):
+        key = f"{name}_id"
+        rows, replaced = changed_daily(star.txn, changed, key, compute)
+        rows = cut_lineage(rows)
+        days = sinks.replace_keys_of_days(rows, replaced, f"{root}/fact_{name}_daily_metrics", [key])
+        report[f"{name}_rows"], report[f"{name}_days"] = rows.count(), len(days)
+    return spark.range(1).select(*[F.lit(v).cast("long").alias(n) for n, v in report.items()],
+                                 F.lit(time.monotonic() - started).alias("elapsed_seconds"))
+
+
 def _baselines(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {"customers": read_table(spark, root, "fact_customer_daily_metrics"),
             "merchants": read_table(spark, root, "fact_merchant_daily_metrics")}

@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from riskloom import jobs
+from riskloom.operators.baselines import customer_daily, merchant_daily
 from riskloom.plans.quality import quality_checks
 from riskloom.plans.search import transaction_rules
 from riskloom.sources import read_star, read_table, sinks
@@ -66,3 +67,26 @@ def test_jobs_on_stored_tables(spark, small, tmp_path):
     metrics = {r.risk_tier: r for r in jobs.run_investigation(spark, root).collect()}
     alerts = read_table(spark, root, "fraud_alerts")
     assert metrics["ALL"].total_cases == alerts.count() == scores.filter("risk_tier in ('HIGH', 'CRITICAL')").count()
+
+
+def test_a_late_transaction_rewrites_the_days_it_touches(spark, small, tmp_path):
+    """Equal to a full run; partitions of days before it stay as they are."""
+    late = small.txn.filter("transaction_id % 97 = 5 and dayofmonth(day) >= 20").orderBy("transaction_id").limit(3)
+    ids = [r.transaction_id for r in late.collect()]
+    early, root = small.txn.filter(~F.col("transaction_id").isin(ids)), str(tmp_path)
+    sinks.refresh_baselines(spark, lambda: customer_daily(early), lambda: merchant_daily(early, small.labels), root)
+    tables = {"customer": lambda: customer_daily(small.txn), "merchant": lambda: merchant_daily(small.txn, small.labels)}
+    files = lambda name: {f: f.stat().st_mtime_ns for f in (tmp_path / f"fact_{name}_daily_metrics").rglob("*.parquet")}
+    before = {name: files(name) for name in tables}
+    changed = small.txn.filter(F.col("transaction_id").isin(ids))
+    report = jobs.refresh_changed_days(spark, small, changed, root).first()
+    for name, full in tables.items():
+        kept = {f for f, at in files(name).items() if before[name].get(f) == at}
+        key = f"{name}_id"
+        touched = full().join(changed.groupBy(key).agg(F.min("day").alias("since")), key).filter("metric_date >= since")
+        days = {f"metric_date={r.metric_date}" for r in touched.collect()}
+        assert kept == {f for f in before[name] if f.parent.name not in days} and kept
+        stored = spark.read.parquet(f"{root}/fact_{name}_daily_metrics")
+        assert sorted(map(tuple, stored.select(full().columns).collect())) == sorted(map(tuple, full().collect()))
+        assert 0 < report[f"{name}_rows"] < full().count()
+    assert jobs.refresh_changed_days(spark, small, changed.limit(0), root).first().customer_days == 0

@@ -1,6 +1,7 @@
 """Alerts, cases, the action log and case metrics."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +120,29 @@ def test_pages_and_totals(spark, alerts):
     assert [r.alert_id for r in page.items.collect()] == [1, 3] and page.total.first().total == 3
     assert P.list_cases(cases, alerts, status="ESCALATED").total.first().total == 1
     assert [r.combined_score for r in P.case_queue(cases, alerts).items.collect()] == [.9, .7, .6, .5]
+
+
+def test_replay_of_one_long_case_is_a_parallel_scan(spark):
+    """Thousands of actions of one case, in blocks of 20: the same statuses as one walk over them, also in two runs."""
+    rng = random.Random(3)
+    names = [*C.TRANSITIONS, C.ASSIGN, "REOPEN"]
+    actions = [(1, i, rng.choice(names)) for i in range(3000)] + [(2, 5, "INVESTIGATE"), (2, 9, "CLOSE"), (3, 1, "ESCALATE"), (9, 1, "ESCALATE")]
+    log = spark.createDataFrame(actions, "case_id long, seq long, action_type string").select(
+        "*", F.lit("x").alias("performed_by"), F.lit("i").alias("investigator"), F.lit("n").alias("notes"),
+        F.timestamp_seconds("seq").alias("performed_at")).repartition(6)
+    cases = spark.createDataFrame([(1, "OPEN"), (2, "OPEN"), (3, "ESCALATED"), (4, "OPEN")], "case_id long, status string").select(
+        "*", F.lit(None).cast("string").alias("assigned_investigator"), F.lit(None).cast("string").alias("resolution"),
+        F.lit(None).cast("timestamp").alias("resolved_at"), F.lit(None).cast("long").alias("last_seq"))
+    status, want = {1: "OPEN", 2: "OPEN", 3: "ESCALATED", 4: "OPEN"}, {}
+    for case, seq, action in sorted(actions):
+        before = status.get(case)
+        after = before if action == C.ASSIGN and before else C.TRANSITIONS.get(action, {}).get(before)
+        want[case, seq] = (before, after)
+        if before and after:
+            status[case] = after
+    got = {(r.case_id, r.seq): (r.previous_status, r.new_status) for r in C.replay(cases, log, block_actions=20).collect()}
+    assert got == want
+    first, _ = C.advance(cases, log.filter("seq < 1700"), block_actions=20)
+    second, again = C.advance(first, log, block_actions=20)
+    assert {r.seq for r in again.filter("case_id = 1").collect()} == set(range(1700, 3000))
+    assert {r.case_id: r.status for r in second.collect()} == status and second.filter("case_id = 1").first().last_seq == 2999
