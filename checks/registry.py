@@ -120,6 +120,25 @@ def _customer_daily_stored(b):
     return _cd_out(b.spark.read.parquet(path))
 
 
+@query("facts_stored_clustered", S.TXN, f"""
+    SELECT transaction_id, customer_id, merchant_id, {t6('ts', 'transaction_ts')}, {d4('amount', 'amount', 2)}, channel, status FROM txn""")
+def _facts_clustered(b):
+    """Stored by a space-filling key of customer and time, with bloom filters on ids, and read back whole."""
+    from riskloom.sources import sinks
+    path = f"{b.run_folder('facts')}/fact_transactions"
+    known = b.star.txn.select("transaction_id", "customer_id", "merchant_id", "transaction_ts", "amount", "channel", "status")
+    sinks.clustered_refresh(known, path, ["customer_id", "transaction_ts"], ["transaction_id", "merchant_id"])
+    return b.spark.read.schema(known.schema).parquet(path).withColumns({"transaction_ts": ts_text("transaction_ts", "t"), "amount": r4("amount", digits=2)})
+
+
+@query("baseline_refresh_report", S.TXN, """
+    SELECT count(DISTINCT (customer_id, day)) AS customer_rows, count(DISTINCT (merchant_id, day)) AS merchant_rows FROM txn""")
+def _refresh_report(b):
+    from riskloom.sources import sinks
+    return sinks.refresh_baselines(b.spark, lambda: customer_daily(b.star.txn), lambda: merchant_daily(b.star.txn, b.star.labels),
+                                   b.run_folder("refresh")).drop("elapsed_seconds")
+
+
 def _changed_days(b, table):
     """Stored without every 97th transaction, which then comes late: only the days that it touches are computed anew."""
     from riskloom import jobs

@@ -39,13 +39,16 @@ def as_stored(df: DataFrame, table: str) -> DataFrame:
 
 
 def load_star(star: Star, root: str, files: int | None = None) -> None:
-    """Full refresh of the base tables."""
+    """Full refresh of the base tables; the facts are clustered by customer and time."""
     for name, df in (("dim_customer", star.customer), ("dim_merchant", star.merchant), ("dim_device", star.device),
                      ("dim_location", star.location), ("fact_transactions", star.txn), ("ground_truth_fraud", star.labels)):
         known = [F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
                  for f in TABLES[name]]
         out = df.select(*known)
-        if files and name in ("fact_transactions", "ground_truth_fraud"):
+        if name == "fact_transactions":
+            sinks.clustered_refresh(out, f"{root}/{name}", ["customer_id", "transaction_ts"], ["transaction_id", "merchant_id"], files)
+            continue
+        if files and name == "ground_truth_fraud":
             out = out.repartition(files)
         sinks.full_refresh(out, f"{root}/{name}")
 

@@ -90,3 +90,40 @@ def test_a_late_transaction_rewrites_the_days_it_touches(spark, small, tmp_path)
         assert sorted(map(tuple, stored.select(full().columns).collect())) == sorted(map(tuple, full().collect()))
         assert 0 < report[f"{name}_rows"] < full().count()
     assert jobs.refresh_changed_days(spark, small, changed.limit(0), root).first().customer_days == 0
+
+
+def test_clustered_facts_are_pruned_by_customer_time_and_id(spark, tmp_path):
+    """Files tell customers and times apart, row groups' bloom filters tell ids apart; the rows are the same."""
+    import pyarrow.parquet as pq
+
+    rows = spark.range(40_000).select(
+        F.xxhash64("id").alias("transaction_id"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(500)).alias("customer_id"),
+        F.timestamp_seconds(1_700_000_000 + F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(5_000_000))).alias("transaction_ts"),
+        F.lit("x" * 20).alias("note")).repartition(3)
+    path = f"{tmp_path}/facts"
+    sinks.clustered_refresh(rows, path, ["customer_id", "transaction_ts"], ["transaction_id"], files=16)
+    stored = spark.read.parquet(path)
+    assert stored.exceptAll(rows).count() == rows.exceptAll(stored).count() == 0
+    ranges = {"customer_id": [], "transaction_ts": []}
+    for f in (tmp_path / "facts").glob("*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        at = {meta.schema.column(i).name: i for i in range(meta.num_columns)}
+        table = pq.read_table(f)
+        for c in ranges:
+            ranges[c].append((min(table[c].to_pylist()), max(table[c].to_pylist())))
+        assert {"customer_id", "transaction_id"} <= set(at)
+    for c in ranges:
+        probe = stored.select(c).orderBy("transaction_id").first()[0]
+        hit = sum(low <= (probe if c == "customer_id" else probe.replace(tzinfo=low.tzinfo)) <= high for low, high in ranges[c])
+        assert hit <= 16 / 2
+
+    def scanned(df):
+        df.collect()
+        node = df._jdf.queryExecution().executedPlan()
+        while not node.nodeName().startswith("Scan"):
+            node = node.children().apply(0)
+        return node.metrics().apply("numOutputRows").value()
+
+    some = stored.orderBy("transaction_id").first().transaction_id
+    assert scanned(stored.filter(F.col("transaction_id") == some)) <= 40_000 / 4
+    assert scanned(stored.filter(F.col("customer_id") == 7)) <= 40_000 / 2
