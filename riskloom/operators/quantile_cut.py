@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 DIRECT_ROWS = 1_000_000
 BUCKETS = 1024
@@ -97,3 +97,54 @@ def _narrow(df: DataFrame, ranges: dict, solved: dict) -> None:
             F.col(target[0]).cast("double").between(row["lo"], row["hi"])).collect())
         solved[target] = values[ranges[target][2]]
         del ranges[target]
+
+
+#: Rank error of the sketch is one part in this many; the exact pass looks at four such parts around each rank.
+SKETCH_ACCURACY = 10_000
+
+
+def grouped_quantiles(df: DataFrame, group: str, value: str, qs: list[float], accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+    """``group`` and ``quantiles`` (an array, linearly interpolated, exact) of the finite numbers of each group.
+
+    Two passes for any number of groups and quantiles. A mergeable sketch of each group gives, for every wanted rank, a
+    narrow range of values that holds it. The second pass counts what lies below the range and the copies of each value inside,
+    so only counts are ordered. Should a range miss its rank, that group's second pass covers all its values.
+    """
+    rows = df.select(F.col(group).alias("g"), _finite(value).alias("v")).filter("v is not null")
+    found = _ranked(rows, _sketched(rows, qs, accuracy), qs)
+    missed = found.filter("missed").select("g")
+    again = rows.join(missed, "g", "left_semi")
+    whole = again.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).select(
+        "g", "n", F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q"), F.col("lo").alias("low"), F.col("hi").alias("high"))
+                            for i, q in enumerate(qs)]).alias("ranges"))
+    if not missed.limit(1).count():
+        return found.select(F.col("g").alias(group), "quantiles")
+    return (found.filter("not missed").unionByName(_ranked(again, whole, qs))).select(F.col("g").alias(group), "quantiles")
+
+
+def _sketched(rows: DataFrame, qs: list[float], accuracy: int) -> DataFrame:
+    """g, n and the range of values around each wanted rank."""
+    margin = 2.0 / accuracy
+    around = [p for q in qs for p in (max(0.0, q - margin), min(1.0, q + margin))]
+    told = rows.groupBy("g").agg(F.count("*").alias("n"), F.approx_percentile("v", around, accuracy).alias("at"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # A group of few rows is ranked as a whole: a part of its ranks may be less than a row.
+    few = F.col("n") <= accuracy
+    return told.select("g", "n", F.array(*[F.struct(
+        F.lit(i).alias("i"), F.lit(float(q)).alias("q"), F.when(few, F.col("lo")).otherwise(F.col("at")[2 * i]).alias("low"),
+        F.when(few, F.col("hi")).otherwise(F.col("at")[2 * i + 1]).alias("high")) for i, q in enumerate(qs)]).alias("ranges"))
+
+
+def _ranked(rows: DataFrame, ranges: DataFrame, qs: list[float]) -> DataFrame:
+    """g, quantiles, and whether a rank lay outside its range."""
+    each = rows.join(ranges, "g").select("g", "v", "n", F.inline("ranges")).filter("v <= high")
+    counted = each.groupBy("g", "n", "i", "q", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count("*").alias("k"))
+    along = W.partitionBy("g", "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    spot = (F.col("n") - 1) * F.col("q")
+    at = counted.withColumns({"upto": F.sum("k").over(along), "rank": F.floor(spot), "part": spot - F.floor(spot)})
+    first = F.col("upto") - F.col("k")
+    holds = lambda rank: F.when(F.col("v").isNotNull() & (first <= rank) & (rank < F.col("upto")), F.col("v"))
+    pairs = at.groupBy("g", "i").agg(
+        F.max(holds(F.col("rank"))).alias("below"), F.max(holds(F.least(F.col("rank") + 1, F.col("n") - 1))).alias("above"), F.max("part").alias("part"))
+    value = F.when(F.col("part") == 0, F.col("below")).otherwise(F.col("below") + (F.col("above") - F.col("below")) * F.col("part"))
+    return pairs.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("x")))), lambda s: s["x"]).alias("quantiles")).withColumn(
+        "missed", F.exists("quantiles", lambda x: x.isNull()) | (F.size("quantiles") < len(qs)))

@@ -86,3 +86,20 @@ def test_row_at_sparse_ids(spark):
     df = spark.createDataFrame([(0, i) for i in ids], "ts_us long, transaction_id long")
     for position in (0, 1, 250, 499):
         assert row_at(df, position, direct_rows=3) == (0, ids[position])
+
+
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_grouped_quantiles_are_exact(spark, accuracy):
+    """Groups of one row to thousands, ties, nulls and numbers that cannot be ranked; a coarse sketch gives narrow ranges."""
+    import numpy as np
+    from riskloom.operators.quantile_cut import grouped_quantiles
+
+    rng = np.random.default_rng(2)
+    rows = [("one", 5.0), ("two", 1.0), ("two", 2.0), ("none", None), ("none", float("nan"))]
+    rows += [("ties", float(v)) for v in rng.integers(0, 4, 3000)] + [("wide", float(v)) for v in rng.standard_normal(4000) * 1e6]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    qs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {r.g: r.quantiles for r in grouped_quantiles(df, "g", "v", qs, accuracy).collect()}
+    assert set(got) == {"one", "two", "ties", "wide"}
+    for g, found in got.items():
+        assert found == pytest.approx(np.quantile([v for k, v in rows if k == g], qs), rel=1e-12, abs=1e-9)
