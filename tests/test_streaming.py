@@ -82,6 +82,23 @@ def test_hot_customer_spreads_over_slices(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/o").select(cols).collect())) == sorted(want)
 
 
+def test_customers_share_groups(spark, tmp_path):
+    """Customers of a slice are dealt to a set number of groups, which tell them apart; unknown ones count together."""
+    rows = spark.range(600).select(
+        F.col("id").alias("transaction_id"), F.when(F.col("id") % 200 > 0, F.col("id") % 200).alias("customer_id"),
+        (F.lit(1_700_000_000_000_000) + F.col("id") * 10_000_000).alias("ts_us"), F.lit("FAILED").alias("status")).withColumn(
+        "transaction_ts", F.timestamp_micros("ts_us"))
+    assert by_slice(rows, 3_600_000_000, 4).groupBy("slice_no", "share").count().count() <= 4 * 4
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    query = (velocity_counts(stream).writeStream.format("parquet").option("path", f"{tmp_path}/o")
+             .option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start())
+    query.awaitTermination()
+    # A customer comes every 2,000 seconds: once in an hour before, never in 10 or 15 minutes.
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/o").select("transaction_id", "customer_id", *micro_windows()).collect()))
+    assert got == [(i, i % 200 or None, 0, int(i >= 200), 0) for i in range(600)]
+
+
 def test_session_of_exactly_the_gap_stays_together(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 01:00:00"), (1, "2024-01-01 02:00:01"), (2, "2024-01-09 00:00:00")]
     df = spark.createDataFrame(rows, "customer_id long, t string").select(
