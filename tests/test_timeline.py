@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators.quantiles import trailing_quantiles_asof
+from riskloom.operators.quantiles import _standing_counts, affordable, trailing_quantiles_asof
 from riskloom.operators.slices import US_PER_DAY, US_PER_HOUR, US_PER_MINUTE, plan_slices
 from riskloom.operators.timeline import Trailing, entity_timeline
 from riskloom.plans.features import FIRST_OF
@@ -104,3 +104,16 @@ def test_future_rows_do_not_change_past_features(spark, txn):
     past = run(txn.filter(F.col("ts_us") < cut)).orderBy("transaction_id").toPandas()
     both = run(txn).filter(F.col("ts_us") < cut).orderBy("transaction_id").toPandas()
     pd.testing.assert_frame_equal(past, both)
+
+
+def test_standing_values_stay_a_multiple_of_the_rows(spark):
+    """Distinct amounts: cut to 20 rows, each of 256 chunks would hold a copy of all 4,000 values. Repeated ones are still cut finely."""
+    minute = F.col("id") % 4000
+    rows = spark.range(8000).select(
+        F.col("id").alias("transaction_id"), F.floor(F.col("id") / 4000).alias("customer_id"), (minute * US_PER_MINUTE).alias("ts_us"),
+        F.when(F.col("id") < 4000, minute).otherwise(minute % 10).alias("cents"))
+    slicing = affordable(rows, plan_slices(rows, "customer_id", 4 * US_PER_DAY, max_rows=20))
+    standing = dict(_standing_counts(slicing.add(rows), "customer_id").groupBy("customer_id").count().collect())
+    assert 0 < standing[0] <= 4 * 4000 and 0 < standing[1] <= 4 * 4000
+    splits = dict(slicing.splits.select("customer_id", "split").collect())
+    assert splits == {0: 2, 1: 256}
