@@ -127,3 +127,20 @@ def test_clustered_facts_are_pruned_by_customer_time_and_id(spark, tmp_path):
     some = stored.orderBy("transaction_id").first().transaction_id
     assert scanned(stored.filter(F.col("transaction_id") == some)) <= 40_000 / 4
     assert scanned(stored.filter(F.col("customer_id") == 7)) <= 40_000 / 2
+
+
+def test_shuffles_grow_with_the_facts(spark):
+    """A task's share of the facts is bounded, whatever number of partitions is set; a larger set number stays."""
+    from riskloom.session import ROWS_PER_TASK, size_tasks
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        size_tasks(spark, 10)
+        assert spark.conf.get(names[0]) == before[names[0]]
+        size_tasks(spark, 30 * ROWS_PER_TASK + 1)
+        assert spark.conf.get(names[0]) == "31"
+        size_tasks(spark, 10)
+        assert spark.conf.get(names[0]) == "31"
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
