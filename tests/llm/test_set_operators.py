@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import ann, decontaminate, graph, kdtree, neardup, pii, substrings
 from riskloom.llm.common import hash_sample
+from riskloom.llm import induced
 from riskloom.llm.induced import repeats, suffix_array
 from riskloom.llm.queries import QUERIES
 
@@ -107,6 +108,20 @@ def test_repeated_substrings(spark, documents, nothing, crowd, monkeypatch):
     assert substrings.repeated(nothing, "doc_id", "text").count() == 0
 
 
+def test_doubling_sorts_again_only_what_is_tied(monkeypatch):
+    """One long repeat takes many rounds; the suffixes that the first rounds told apart are not sorted in them."""
+    rng = np.random.default_rng(4)
+    names = rng.integers(0, 1 << 30, 20_000)
+    names[15_000:15_200] = names[1_000:1_200]
+    sorted_rows = []
+    whole = np.argsort
+    monkeypatch.setattr(induced.np, "argsort", lambda keys, *a, **k: (sorted_rows.append(len(keys)), whole(keys, *a, **k))[1])
+    order = induced._doubling(names)
+    monkeypatch.undo()
+    assert order.tolist() == sorted(range(len(names)), key=lambda i: names[i:i + 400].tolist())
+    assert sum(sorted_rows) < 2 * len(names)
+
+
 def test_suffix_array():
     rng = np.random.default_rng(1)
     for trial in range(150):
