@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.operators import quantile_cut
 from riskloom.operators.ordering import chronological_split, dense_ids, row_at, running_sums
 from riskloom.operators.quantile_cut import exact_quantiles
 from riskloom.operators.sessions import gap_sessions
@@ -103,3 +104,16 @@ def test_grouped_quantiles_are_exact(spark, accuracy):
     assert set(got) == {"one", "two", "ties", "wide"}
     for g, found in got.items():
         assert found == pytest.approx(np.quantile([v for k, v in rows if k == g], qs), rel=1e-12, abs=1e-9)
+
+
+def test_ranks_in_one_range_share_its_histogram(spark, monkeypatch):
+    """A pass makes a row per range of a value, not one per wanted rank, and few jobs resolve all ranks."""
+    df = spark.range(40_000).select(F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("x"))
+    qs = [(1 + 98 * i / 19) / 100 for i in range(20)]
+    exploded, array = [], F.array
+    monkeypatch.setattr(quantile_cut.F, "array", lambda *c: (exploded.append(len(c)), array(*c))[1])
+    got = exact_quantiles(df, ["x"], qs, 1_000)["x"]
+    monkeypatch.undo()
+    assert got == pytest.approx(df.agg(F.percentile("x", qs)).first()[0])
+    assert exploded[0] == 1
+    assert len(exploded) <= 2 * 3
