@@ -171,3 +171,24 @@ def test_registered_queries_train_the_default_grid(spark, prepared, monkeypatch)
     bench.__dict__["prepared"] = prepared
     assert [r.trees for r in bench.boosted.trials.collect()] == [150, 200, 300]
     assert asked == models.GRID
+
+
+def test_configurations_train_at_the_same_time(prepared, monkeypatch):
+    """Each training waits until the others have begun; one after the other they would never meet."""
+    import threading
+
+    from riskloom.plans import models
+
+    met = threading.Barrier(3, timeout=60)
+
+    class Meeting(models.GBTClassifier):
+        def fit(self, dataset, params=None):
+            met.wait()
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(models, "GBTClassifier", Meeting)
+    grid = [{"maxDepth": d, "maxIter": 1, "stepSize": 0.1} for d in (1, 2, 1)]
+    chosen = fit_boosted(prepared.part("train"), prepared.part("validation"), grid)
+    trials = chosen.trials.collect()
+    assert [r.max_depth for r in trials] == [1, 2, 1]
+    assert trials[0].validation_pr_auc == trials[2].validation_pr_auc
