@@ -3,8 +3,9 @@
 Both processors keep sums by day, as baselines are defined on closed days. A customer also has the rows that a later or
 late arrival may still look back on, counts by hour of all older ones, the last of these, and the first time of each
 device, location and merchant. Rows go from the first to the second kind of state when the watermark has left them behind by
-the longest window; a timer does that for customers from whom nothing more arrives. So the state of a customer grows
-with days and distinct items, not with rows, and a micro-batch reads no earlier rows.
+the longest window; a timer does that for customers from whom nothing more arrives. Customers share a
+group by hash, whose state a micro-batch reads and writes once. So the state of a customer grows with days and distinct
+items, not with rows, and a micro-batch reads no earlier rows.
 
 Rows are told from each other by (time, id), as in the batch plans. A late row is placed at its own time; rows that were
 answered before it are not revised. Rows later than the watermark are dropped by Spark.
@@ -12,8 +13,11 @@ answered before it are not revised. Rows later than the watermark are dropped by
 
 from __future__ import annotations
 
+import pickle
+from bisect import bisect_left
 from collections.abc import Iterator
 from decimal import Decimal
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -29,6 +33,8 @@ NO_ITEM = -(1 << 63)
 
 ARRIVAL = ("customer_id long, merchant_id long, transaction_id long, transaction_ts timestamp, ts_us long, hour long, status string, "
            "cents long, device_id long, location_id long, lat double, lon double")
+_moment = itemgetter(0, 1)
+
 #: After the merchant's history, and after the customer's.
 MERCHANT_OUT = ARRIVAL + ", merchant_n long, merchant_s long"
 CUSTOMER_OUT = ("customer_id long, merchant_id long, transaction_id long, transaction_ts timestamp, ts_us long, hour long, status string, "
@@ -37,7 +43,8 @@ CUSTOMER_OUT = ("customer_id long, merchant_id long, transaction_id long, transa
                 "prior_count long, hour_count long, wn long, ws long, wq decimal(38,0)")
 START = "entity long, kind string, a long, b long, c long, q decimal(38,0), hour long, failed boolean, lat double, lon double"
 
-_RECENT = "ts_us long, transaction_id long, failed boolean, hour long, location_id long, lat double, lon double"
+#: Shares that the customers are dealt to. A call, a timer and a batch for each customer would cost more than its few rows.
+SHARES = 1024
 
 
 class DaySums:
@@ -84,8 +91,56 @@ def _baselines(sums: DaySums, days: np.ndarray, with_last: bool) -> list[tuple]:
     return [of_day[d] for d in days.tolist()]
 
 
+#: Place of the recent rows' times in a stored past.
+TIMES = 9
+
+
+class Past:
+    """What is known of one customer; ``recent`` has (time, id, failed, hour, lat, lon), ``seen`` the first (time, id) by kind and item."""
+
+    def __init__(self, stored: tuple | None):
+        if stored is None:
+            self.days, self.hours, self.last, self.recent, self.seen = DaySums(None), [0] * 24, None, [], {}
+            return
+        self.days, self.hours = DaySums(tuple(stored[:4])), list(stored[4])
+        self.last = None if stored[5] is None else tuple(stored[5:9])
+        self.recent = list(zip(*stored[9:15]))
+        self.seen = dict(zip(zip(stored[15], stored[16]), zip(stored[17], stored[18])))
+
+    def stored(self, watermark_day: int | None) -> tuple:
+        """As kept in the state; without a watermark all days are kept."""
+        days = self.days.stored(min(self.days.sums) if watermark_day is None else watermark_day) if self.days.sums else ([], [], [], [])
+        columns = [list(c) for c in zip(*self.recent)] or [[] for _ in range(6)]
+        seen = [(*item, *first) for item, first in self.seen.items()]
+        firsts = [list(c) for c in zip(*seen)] or [[] for _ in range(4)]
+        return (*days[:3], [int(q) for q in days[3]], self.hours, *(self.last or (None,) * 4), *columns, *firsts)
+
+    def retire(self, until_us: int) -> None:
+        """Recent rows before ``until_us``, on which no row to come can look back, are counted by hour."""
+        gone = bisect_left(self.recent, (until_us,))
+        for r in self.recent[:gone]:
+            self.hours[r[3]] += 1
+        if gone:
+            r = self.recent[gone - 1]
+            self.last = (r[0], r[1], r[4], r[5])
+        self.recent = self.recent[gone:]
+
+    def first(self, kind: int, items: list, at: list[tuple]) -> list[bool]:
+        """Which of the rows (sorted by time) are the first of their item."""
+        out, met = [False] * len(items), set()
+        for i, (item, here) in enumerate(zip(items, at)):
+            if item in met:
+                continue
+            met.add(item)
+            known = self.seen.get((kind, item))
+            if known is None or here < known:
+                out[i] = True
+                self.seen[kind, item] = here
+        return out
+
+
 class CustomerHistory(StatefulProcessor):
-    """Adds to each arriving row what its customer did before it."""
+    """Adds to each arriving row of a share what its customer did before it."""
 
     def __init__(self, short_min: int, long_min: int, failed_min: int):
         self.short, self.long, self.failed = (m * US_PER_MINUTE for m in (short_min, long_min, failed_min))
@@ -93,122 +148,106 @@ class CustomerHistory(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.days = handle.getValueState("days", _DAYS)
-        self.older = handle.getValueState("older", "by_hour array<bigint>, timer bigint")
-        self.last = handle.getValueState("last", "ts_us long, transaction_id long, lat double, lon double")
-        self.recent = handle.getListState("recent", _RECENT)
-        self.seen = handle.getMapState("seen", "kind string, item long", "ts_us long, transaction_id long")
+        # A call of the state costs more than a customer's rows: a share has one value, its customers' pasts packed.
+        self.share = handle.getValueState("share", "pasts binary, timer bigint")
+
+    def _load(self) -> tuple[dict[int, tuple], int]:
+        """The stored pasts by customer, and the time of the share's timer (0: none is set)."""
+        packed, timer = self.share.get() or (None, 0)
+        return (pickle.loads(bytes(packed)) if packed else {}), timer
+
+    def _store(self, pasts: dict[int, tuple], timer: int) -> None:
+        """Sets the timer, unless it is set, to when the last recent row can retire."""
+        newest = max((p[TIMES][-1] for p in pasts.values() if p[TIMES]), default=None)
+        if newest is not None and not timer:
+            timer = (newest + self.longest) // 1000 + 1
+            self.handle.registerTimer(timer)
+        self.share.update((pickle.dumps(pasts, pickle.HIGHEST_PROTOCOL), timer))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N803  names of the interface
-        """Takes the rows of ``customer_start``; a customer may come in several pages."""
-        days = DaySums(self.days.get())
-        hours, timer = self.older.get() or ([0] * 24, 0)
-        hours, recent = list(hours), []
+        """Takes the rows of ``customer_start``; a share and a customer may come in several pages."""
+        stored, timer = self._load()
+        pasts: dict[int, Past] = {}
         for r in initialState.itertuples(index=False):
+            who = int(r.customer_id)
+            if who not in pasts:
+                pasts[who] = Past(stored.get(who))
+            past = pasts[who]
             if r.kind == "day":
-                days.add(int(r.a), int(r.b), int(r.c), int(r.q))
+                past.days.add(int(r.a), int(r.b), int(r.c), int(r.q))
             elif r.kind == "hour":
-                hours[int(r.a)] += int(r.b)
+                past.hours[int(r.a)] += int(r.b)
             elif r.kind == "last":
-                self.last.update((int(r.a), int(r.b), r.lat, r.lon))
+                past.last = (int(r.a), int(r.b), r.lat, r.lon)
             elif r.kind == "recent":
-                recent.append((int(r.a), int(r.b), bool(r.failed), int(r.hour), None if pd.isna(r.c) else int(r.c), r.lat, r.lon))
+                past.recent.append((int(r.a), int(r.b), bool(r.failed), int(r.hour), r.lat, r.lon))
             else:
-                self.seen.updateValue((r.kind, int(r.a)), (int(r.b), int(r.c)))
-        if days.sums:
-            self.days.update(days.stored(min(days.sums)))
-        if recent:
-            self.recent.appendList(recent)
-            timer = timer or self._register(max(r[0] for r in recent))
-        self.older.update((hours, timer))
-
-    def _register(self, newest_us: int) -> int:
-        at = (newest_us + self.longest) // 1000 + 1
-        self.handle.registerTimer(at)
-        return at
-
-    def _retire(self, rows: list[tuple], hours: list[int], watermark_us: int) -> list[tuple]:
-        """Sorted rows that stay; those that no row to come can look back on are counted by hour."""
-        gone = [r for r in rows if r[0] < watermark_us - self.longest]
-        for r in gone:
-            hours[r[3]] += 1
-        if gone:
-            self.last.update((gone[-1][0], gone[-1][1], gone[-1][5], gone[-1][6]))
-        return rows[len(gone):]
+                past.seen[KINDS.index(r.kind), int(r.a)] = (int(r.b), int(r.c))
+        for who, past in pasts.items():
+            past.recent.sort(key=_moment)
+            stored[who] = past.stored(None)
+        self._store(stored, timer)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        page = pd.concat(list(rows)).sort_values(["ts_us", "transaction_id"], kind="stable").reset_index(drop=True)
+        page = pd.concat(list(rows)).sort_values(["customer_id", "ts_us", "transaction_id"], kind="stable").reset_index(drop=True)
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        ts, ids = page["ts_us"].to_numpy(np.int64), page["transaction_id"].to_numpy(np.int64)
-        day = ts // US_PER_DAY
-        sums = DaySums(self.days.get())
-        sums.add_rows(day, page["cents"].to_numpy(np.int64))
-        self.days.update(sums.stored(watermark // US_PER_DAY))
-
+        who, ts = page["customer_id"].to_numpy(np.int64), page["ts_us"].to_numpy(np.int64)
+        cents, day = page["cents"].to_numpy(np.int64), ts // US_PER_DAY
         # The timeline has rows of a known location only; the others count for the sums.
-        page = page[page["lat"].notna()].reset_index(drop=True)
-        if page.empty:
-            return
-        ts, ids, day = page["ts_us"].to_numpy(np.int64), page["transaction_id"].to_numpy(np.int64), page["ts_us"].to_numpy(np.int64) // US_PER_DAY
-        hours, timer = self.older.get() or ([0] * 24, 0)
-        hours, last = list(hours), self.last.get()
-        own = list(zip(ts.tolist(), ids.tolist(), (page["status"] == "FAILED").tolist(), page["hour"].astype(int).tolist(),
-                       page["location_id"].tolist(), page["lat"].tolist(), page["lon"].tolist()))
-        line = sorted([*map(tuple, self.recent.get()), *own], key=lambda r: r[:2])
-        times = np.array([r[0] for r in line], np.int64)
-        failed = times[np.array([r[2] for r in line], bool)]
+        located = page["lat"].notna().to_numpy()
+        line = list(zip(ts.tolist(), page["transaction_id"].to_numpy(np.int64).tolist(), (page["status"] == "FAILED").tolist(),
+                        page["hour"].where(located, 0).astype(int).tolist(), page["lat"].tolist(), page["lon"].tolist()))
+        items = [page[f"{kind}_id"].fillna(NO_ITEM).astype("int64").to_numpy() for kind in KINDS]
+        answers, (pasts, timer) = [], self._load()
+        cuts = [*np.flatnonzero(np.diff(who, prepend=who[0] - 1 if who[0] > NO_ITEM else who[0] + 1)).tolist(), len(who)]
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            customer = int(who[start])
+            past = Past(pasts.get(customer))
+            past.days.add_rows(day[start:end], cents[start:end])
+            at = start + np.flatnonzero(located[start:end])
+            if len(at):
+                answers += self._answers(past, [line[i] for i in at.tolist()], day[at], [c[at].tolist() for c in items])
+                past.retire(watermark - self.longest)
+            pasts[customer] = past.stored(watermark // US_PER_DAY)
+        self._store(pasts, timer)
+        if answers:
+            page = page[located].reset_index(drop=True)
+            told = dict(zip(("short_count", "long_count", "failed_count", "new_device", "new_location", "prev_us", "prev_lat",
+                             "prev_lon", "prior_count", "hour_count", "wn", "ws", "wq"), zip(*answers)))
+            optional = ("prev_us", "prev_lat", "prev_lon", "wn", "ws", "wq")
+            yield page[["customer_id", "merchant_id", "transaction_id", "transaction_ts", "ts_us", "hour", "status", "cents", "lat", "lon",
+                        "merchant_n", "merchant_s"]].assign(
+                customer_id=page["customer_id"].astype("Int64").mask(page["customer_id"] == NO_ITEM),
+                **{name: pd.Series(values, dtype=object) if name in optional else list(values) for name, values in told.items()})
+
+    def _answers(self, past: Past, own: list[tuple], day: np.ndarray, items: list[list]) -> list[tuple]:
+        """For one customer's rows, sorted by time, what the rules must know; they become recent rows."""
+        past.recent = line = sorted([*past.recent, *own], key=_moment)
+        times, failed = [r[0] for r in line], [r[0] for r in line if r[2]]
         place = {r[:2]: i for i, r in enumerate(line)}
-        at = np.array([place[k] for k in zip(ts.tolist(), ids.tolist())])
-        hour = np.array([r[3] for r in line])
-        in_hour = np.zeros(len(line), np.int64)
-        for h in np.unique(hour):
-            here = np.flatnonzero(hour == h)
-            in_hour[here] = hours[h] + np.arange(len(here))
-
-        def previous(i: int) -> tuple:
-            if i:
-                return line[i - 1][0], line[i - 1][5], line[i - 1][6]
-            return (last[0], last[2], last[3]) if last else (None, None, None)
-
-        before = [previous(i) for i in at.tolist()]
-        baseline = _baselines(sums, day, True)
-        count = lambda times, width: np.searchsorted(times, ts, "left") - np.searchsorted(times, ts - width, "left")
-        fresh = {kind: self._first(kind, page[f"{kind}_id"], ts, ids) for kind in KINDS}
-        column = lambda rows, i: pd.Series([r[i] for r in rows], dtype=object)
-        yield page[["customer_id", "merchant_id", "transaction_id", "transaction_ts", "ts_us", "hour", "status", "cents", "lat", "lon",
-                    "merchant_n", "merchant_s"]].assign(
-            short_count=count(times, self.short), long_count=count(times, self.long), failed_count=count(failed, self.failed),
-            new_device=fresh["device"], new_location=fresh["location"],
-            prev_us=column(before, 0), prev_lat=column(before, 1), prev_lon=column(before, 2),
-            prior_count=sum(hours) + at, hour_count=in_hour[at], wn=column(baseline, 0), ws=column(baseline, 1),
-            wq=pd.Series([None if b[2] is None else Decimal(b[2]) for b in baseline], dtype=object))
-
-        kept = self._retire(line, hours, watermark)
-        self.recent.put(kept)
-        if kept and not timer:
-            timer = self._register(kept[-1][0])
-        self.older.update((hours, timer))
-
-    def _first(self, kind: str, items: pd.Series, ts: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Rows (sorted by time) that are the first of their item, and the state of these items."""
-        values = items.fillna(NO_ITEM).astype("int64").to_numpy()
-        out = np.zeros(len(values), bool)
-        for value, i in zip(*np.unique(values, return_index=True)):
-            here, known = (int(ts[i]), int(ids[i])), self.seen.getValue((kind, int(value)))
-            if known is None or here < tuple(known):
-                out[i] = True
-                self.seen.updateValue((kind, int(value)), here)
+        in_hour, by_hour = [], list(past.hours)
+        for r in line:
+            in_hour.append(by_hour[r[3]])
+            by_hour[r[3]] += 1
+        older, moments = sum(past.hours), [r[:2] for r in own]
+        fresh = [past.first(kind, of, moments) for kind, of in enumerate(items)]
+        count = lambda times, t, width: bisect_left(times, t) - bisect_left(times, t - width)
+        out = []
+        for k, (moment, baseline) in enumerate(zip(moments, _baselines(past.days, day, True))):
+            i, t = place[moment], moment[0]
+            before = (line[i - 1][0], *line[i - 1][4:]) if i else (past.last[0], *past.last[2:]) if past.last else (None, None, None)
+            out.append((count(times, t, self.short), count(times, t, self.long), count(failed, t, self.failed), fresh[0][k], fresh[1][k],
+                        *before, older + i, in_hour[i], *baseline[:2], None if baseline[2] is None else Decimal(baseline[2])))
         return out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
-        hours, _ = self.older.get() or ([0] * 24, 0)
-        hours = list(hours)
-        kept = self._retire(sorted(map(tuple, self.recent.get())), hours, timerValues.getCurrentWatermarkInMs() * 1000)
-        if kept:
-            self.recent.put(kept)
-        else:
-            self.recent.clear()
-        self.older.update((hours, self._register(kept[-1][0]) if kept else 0))
+        watermark, (pasts, _) = timerValues.getCurrentWatermarkInMs() * 1000, self._load()
+        for customer, stored in pasts.items():
+            if stored[TIMES] and stored[TIMES][0] < watermark - self.longest:
+                past = Past(stored)
+                past.retire(watermark - self.longest)
+                pasts[customer] = past.stored(None)
+        self._store(pasts, 0)
         return iter([])
 
     def close(self) -> None:
@@ -244,6 +283,12 @@ class MerchantHistory(StatefulProcessor):
         pass
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` with their customer's ``share``; NO_ITEM stands for an unknown customer."""
+    who = F.coalesce(F.col("customer_id").cast("long"), F.lit(NO_ITEM))
+    return rows.withColumns({"customer_id": who, "share": F.pmod(F.xxhash64(who), F.lit(SHARES))})
+
+
 def _start(df: DataFrame, entity: str, kind: str, **columns: str) -> DataFrame:
     """Rows of the start state: the named columns as given, the others null."""
     fields = [f.split() for f in START.split(", ")][2:]

@@ -58,12 +58,12 @@ def score_stream(arriving: DataFrame, star: Star, rules: list[Rule] | None = Non
         stored = arrivals(start, star)
         late_us = spark.range(1).select(F.expr(f"unix_micros(timestamp_micros(0) + interval {late})")).first()[0]
         of_merchants = H.merchant_start(stored).withColumnRenamed("entity", "merchant_id").groupBy("merchant_id")
-        of_customers = (H.customer_start(stored, late_us, max(short_min, long_min, failed_min) * US_PER_MINUTE)
-                        .withColumnRenamed("entity", "customer_id").groupBy("customer_id"))
+        began = H.customer_start(stored, late_us, max(short_min, long_min, failed_min) * US_PER_MINUTE)
+        of_customers = H.dealt(began.withColumnRenamed("entity", "customer_id")).groupBy("share")
     rows = arrivals(arriving, star).withWatermark("transaction_ts", late)
     rows = rows.groupBy("merchant_id").transformWithStateInPandas(
         H.MerchantHistory(), H.MERCHANT_OUT, "Append", "EventTime", of_merchants, "transaction_ts")
-    rows = rows.groupBy("customer_id").transformWithStateInPandas(
+    rows = H.dealt(rows).groupBy("share").transformWithStateInPandas(
         H.CustomerHistory(short_min, long_min, failed_min), H.CUSTOMER_OUT, "Append", "EventTime", of_customers, "transaction_ts")
     return apply_rules(rule_features(rows), rules)
 

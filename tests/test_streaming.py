@@ -48,6 +48,21 @@ def test_rule_stream_from_stored_rows(spark, small, tmp_path):
     assert streamed == sorted(map(tuple, batch.select(COLS).collect()))
 
 
+def test_customers_share_state(spark, small, arriving, tmp_path, monkeypatch):
+    """Many customers in two groups, one call and one state value each: the firings are those of the batch."""
+    from riskloom.streaming import history
+
+    monkeypatch.setattr(history, "SHARES", 2)
+    unknown = history.dealt(spark.createDataFrame([(None,), (7,)], "customer_id long")).collect()
+    assert [r.customer_id for r in unknown] == [history.NO_ITEM, 7]
+    query = start_scoring(arriving(), small, f"{tmp_path}/f", f"{tmp_path}/c")
+    query.awaitTermination()
+    customers = query.lastProgress["stateOperators"][0]
+    assert small.txn.select("customer_id").distinct().count() > customers["numRowsTotal"]  # values, timers and their index
+    streamed = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/f").select(COLS).collect()))
+    assert streamed == sorted(map(tuple, apply_rules(transaction_features(small)).select(COLS).collect()))
+
+
 def test_counter_stream_equals_batch(spark, small, arriving, tmp_path):
     hours = (24 * 60, 72 * 60, 36 * 60)
     query = (velocity_counts(arriving(), "5 days", *hours).writeStream.format("parquet").option("path", f"{tmp_path}/o")
