@@ -315,6 +315,38 @@ def test_near_duplicates(spark, documents, nothing, words, leaf, block, monkeypa
     assert neardup.near_duplicates(nothing, "doc_id", "text").count() == 0
 
 
+def test_large_nodes_with_few_others_branch_no_more(spark, monkeypatch):
+    """300 near copies and 40 texts that share half of their tokens: nodes hold both, and are settled in the first level."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 32, neardup.TOKENS, dtype=np.uint32)
+
+    def like(source, part):
+        return np.where(rng.random(neardup.TOKENS) < part, source, rng.integers(0, 1 << 32, neardup.TOKENS, dtype=np.uint32)).astype(np.uint32)
+
+    tokens = {i: like(base, 0.97) for i in range(300)} | {300 + i: like(base, 0.3) for i in range(40)}
+    tokens[1000] = like(tokens[310], 0.95)
+    tokens[1001] = np.where(np.arange(neardup.TOKENS) % 2 == 0, tokens[320], tokens[5]).astype(np.uint32)  # near a copy and another
+    rows = [(i, 100, t.tobytes()) for i, t in tokens.items()]
+    deeper, branch = [], neardup.branch
+
+    def counted(df, similarity, roots=None):
+        out = branch(df, similarity, roots)
+        if roots is None:
+            deeper.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "branch", counted)
+    found = neardup.loose_clusters(spark.createDataFrame(rows, "id long, n long, tokens binary"), 0.8, 16, 5)
+    got = {r["id"]: r["component"] for r in found.collect()}
+    assert sum(deeper) == 0
+    sketch = {i: (t[:neardup.SKETCH] & 0xFF).astype(np.uint8) for i, t in tokens.items()}
+    agree = lambda a, b: int((sketch[a] == sketch[b]).sum()) >= neardup.AGREE
+    assert all(got[i] == 0 for i in range(300)) and agree(310, 1000) and got[310] == got[1000]
+    others = [i for i in tokens if i >= 300]
+    for a in others:  # whoever is joined to anybody is so by a chain of agreeing sketches
+        assert (got.get(a, a) == 0) == any(agree(a, b) for b in tokens if b != a and got.get(b) == 0)
+
+
 def test_rows_without_an_id_come_back(spark):
     base = prose(80, 3)
     df = spark.createDataFrame([(1, base), (None, base), (2, base), (None, None), (None, "one")], "doc_id long, text string")
