@@ -9,6 +9,7 @@ each pattern of conditions that occurs.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,9 @@ from pyspark.sql.types import ArrayType, DoubleType
 from riskloom.plans.models import Prepared
 from riskloom.session import ensure_checkpoint_dir
 
+#: Features of a path up to which a task keeps the contributions of all patterns of conditions: 2 KB a leaf at most.
+TABLE_FEATURES = 5
+
 
 def linear_contributions(prepared: Prepared, model) -> DataFrame:
     """Adds ``contributions`` (array, feature order) and ``base``; base + sum = log-odds."""
@@ -94,21 +98,37 @@ def path_contributions(rows: DataFrame, leaves: list[tuple], features: str, widt
     held = [(value, *(np.array(c) for c in zip(*path))) for value, path in leaves if path]
     shared = rows.sparkSession.sparkContext.broadcast(held)
 
-    def shapley(batch: pd.Series) -> pd.Series:
-        x = np.stack(batch.to_numpy()).astype(float).reshape(-1, width)
-        out = np.zeros_like(x)
-        for value, at, low, high, shares in shared.value:
-            own = x[:, at]
-            # Rows with the same conditions holding have the same contributions.
-            bits = np.arange(len(at), dtype=np.int64)
-            patterns, which = np.unique(((own > low) & (own <= high)) @ (1 << bits), return_inverse=True)
-            out[:, at] += leaf_contributions(value, shares, (patterns[:, None] >> bits & 1).astype(float))[which]
-        return pd.Series(list(out))
+    def shapley(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # Rows with the same conditions holding have the same contributions: of a short path all patterns are worked out once.
+        known = [_all_patterns(value, shares) if len(at) <= TABLE_FEATURES else None for value, at, _, _, shares in shared.value]
+        for batch in batches:
+            x = np.stack(batch.to_numpy()).astype(float).reshape(-1, width).T.copy()
+            out = np.zeros_like(x)
+            for (value, at, low, high, shares), table in zip(shared.value, known):
+                code = np.zeros(x.shape[1], dtype=np.int64)
+                for j, f in enumerate(at):
+                    holds = x[f] <= high[j] if low[j] == -np.inf else x[f] > low[j] if high[j] == np.inf else (x[f] > low[j]) & (x[f] <= high[j])
+                    code += holds.astype(np.int64) << j
+                if table is None:
+                    patterns, code = np.unique(code, return_inverse=True)
+                    table = leaf_contributions(value, shares, _holding(patterns, len(at))).T
+                for j, f in enumerate(at):
+                    out[f] += table[j][code]
+            yield pd.Series(list(out.T.copy()))
 
     udf = F.pandas_udf(shapley, ArrayType(DoubleType()))
     return rows.withColumn("contributions", udf(F.col(features))).withColumn("base", F.lit(base))
 
 
+def _holding(patterns: np.ndarray, features: int) -> np.ndarray:
+    return (patterns[:, None] >> np.arange(features, dtype=np.int64) & 1).astype(float)
+
+
+def _all_patterns(value: float, shares: np.ndarray) -> np.ndarray:
+    """Contributions (feature, pattern) of one leaf for every pattern of conditions."""
+    return leaf_contributions(value, shares, _holding(np.arange(1 << len(shares)), len(shares))).T.copy()
+
+
 def tree_contributions(rows: DataFrame, model, features: str = "plain") -> DataFrame:
     """Adds ``contributions`` and ``base``; base + sum = the ensemble's margin."""
     known = rows.withColumn("_x", vector_to_array(features))
