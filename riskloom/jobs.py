@@ -69,7 +69,7 @@ def refresh_changed_days(spark: SparkSession, star: Star, changed: DataFrame, ro
         key = f"{name}_id"
         rows, replaced = changed_daily(star.txn, changed, key, compute)
         rows = cut_lineage(rows)
-        days = sinks.replace_keys_of_days(rows, replaced, f"{root}/fact_{name}_daily_metrics", [key])
+        days = sinks.replace_keys_of_days(rows, replaced, f"{root}/fact_{name}_daily_metrics", key)
         report[f"{name}_rows"], report[f"{name}_days"] = rows.count(), len(days)
     return spark.range(1).select(*[F.lit(v).cast("long").alias(n) for n, v in report.items()],
                                  F.lit(time.monotonic() - started).alias("elapsed_seconds"))

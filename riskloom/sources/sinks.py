@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from riskloom.operators.spans import in_spans
 from riskloom.session import cut_lineage
 
 
@@ -64,19 +65,19 @@ def upsert_rows(current: DataFrame, changes: DataFrame, keys: list[str]) -> Data
     return current.join(changes.select(*keys), keys, "left_anti").unionByName(changes)
 
 
-def replace_keys_of_days(rows: DataFrame, replaced: DataFrame, path: str, keys: list[str], day: str = "metric_date") -> list:
-    """Replace the rows of the given (keys, day) in a table stored by day; returns the days that were written.
+def replace_keys_of_days(rows: DataFrame, replaced: DataFrame, path: str, key: str, day: str = "metric_date") -> list:
+    """Replace the rows of the given key and spans of days in a table stored by day; returns the days that were written.
 
     Only the partitions of days on which a row comes or goes are read and rewritten; their other rows are carried over.
     """
     spark = rows.sparkSession
     rows = cut_lineage(rows)
     stored = spark.read.parquet(path)
-    gone = stored.select(*keys, day).join(replaced, [*keys, day], "left_semi").select(day)
+    gone = in_spans(stored.select(key, day), replaced, key, day).select(day)
     days = sorted(r[0] for r in gone.unionByName(rows.select(day)).distinct().collect())  # at most one per calendar day
     if not days:
         return []
-    kept = stored.filter(F.col(day).isin(days)).join(replaced, [*keys, day], "left_anti")
+    kept = in_spans(stored.filter(F.col(day).isin(days)), replaced, key, day, inside=False)
     # Written aside first: a partition cannot be read and overwritten in one job.
     upsert_days(cut_lineage(kept.unionByName(rows.select(*stored.columns))), path, day)
     return days

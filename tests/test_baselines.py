@@ -53,3 +53,20 @@ def test_asof_takes_latest_earlier_day(spark):
     got = {(r.k, r.day.day): (r.v, r.matched) for r in asof_previous_day(spine, daily, "k", "day", ["v"]).collect()}
     assert got == {(1, 1): (None, False), (1, 2): (10, True), (1, 5): (10, True), (1, 9): (50, True),
                    (2, 3): (None, False), (3, 4): (None, False)}
+
+
+def test_changed_windows_are_spans_and_join_without_a_broadcast(spark):
+    """A row per key, whatever the length of its windows; a row per key and day would have been broadcast while it compresses well."""
+    from riskloom.operators.spans import in_spans, window_spans
+
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    changed = spark.createDataFrame([(1, day(0)), (1, day(0)), (1, day(5)), (1, day(6)), (1, day(40)), (2, day(3)), (None, day(1)), (3, None)], "k long, day date")
+    spans = window_spans(changed, "k", 2, 3)
+    first = (dt.date(2024, 1, 1) - dt.date(1970, 1, 1)).days
+    assert {r.k: [(s["first"] - first, s["last"] - first) for s in r.spans] for r in spans.collect()} == {1: [(-2, 9), (38, 43)], 2: [(1, 6)]}
+    rows = spark.createDataFrame([(k, day(n)) for k in (1, 2, 4, None) for n in range(50)] + [(1, None)], "k long, d date")
+    want = {(1, day(n)) for n in [*range(10), *range(38, 44)]} | {(2, day(n)) for n in range(1, 7)}
+    inside = in_spans(rows, spans, "k", "d")
+    assert sorted(map(tuple, inside.collect())) == sorted(want)
+    assert inside.count() + in_spans(rows, spans, "k", "d", inside=False).count() == rows.count()
+    assert "BroadcastHashJoin" not in inside._jdf.queryExecution().executedPlan().toString()
