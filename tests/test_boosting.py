@@ -39,6 +39,16 @@ def test_trees_are_those_of_mllib(rows, monkeypatch, rows_per_task):
     assert [t.numNodes for t in own.trees] == [t.numNodes for t in theirs.trees]
 
 
+def test_split_candidates_of_many_rows_are_mllibs(spark):
+    """Over 10,000 rows they come from a sample, which has to be the same rows."""
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.normal(size=14_000), rng.exponential(size=14_000), np.where(rng.random(14_000) < 0.6, 0.0, rng.normal(size=14_000))])
+    label = (x[:, 0] - x[:, 2] + rng.normal(size=14_000) > 2.5).astype(float)
+    rows = spark.createDataFrame([(Vectors.dense(v), float(y), 12.25 if y else 1.0) for v, y in zip(x, label)], ["plain", "label", "weight"]).repartition(3).cache()
+    asked = {**PARAMS, "maxDepth": 3, "maxIter": 4, "stepSize": 0.3}
+    assert _apart(rows, boosting.GBTClassifier(**asked).fit(rows), ml.GBTClassifier(**asked).fit(rows)) < 1e-9
+
+
 def test_many_tasks_give_the_trees_of_one(rows, monkeypatch):
     asked = {**PARAMS, "maxDepth": 3, "maxIter": 5, "stepSize": 0.3}
     one = boosting.GBTClassifier(**asked).fit(rows)
